@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cartolith.llm import credentials, leakage, topn
+from cartolith.llm import credentials, encoding, leakage, topn
 from cartolith.runtime import table
 
 
@@ -35,6 +35,14 @@ def p7_leaked_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p7_found(spark, sf_dir).groupBy("item_id").agg(F.count(F.lit(1)).alias("documents"))
 
 
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encoding.garbled_documents(table(spark, sf_dir, "documents")).select("doc_id").distinct()
+
+
+def p9_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encoding.garbled_documents(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "p2_found": p2_found,
     "p2_strongest_targets": p2_strongest_targets,
@@ -42,6 +50,8 @@ QUERIES = {
     "p4_redacted": p4_redacted,
     "p7_found": p7_found,
     "p7_leaked_items": p7_leaked_items,
+    "p9_found": p9_found,
+    "p9_restored": p9_restored,
 }
 
 _EDGE = """
