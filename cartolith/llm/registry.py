@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cartolith.llm import credentials, encoding, leakage, topn
+from cartolith.llm import credentials, encoding, leakage, syntax, topn
 from cartolith.runtime import table
 
 
@@ -27,6 +27,14 @@ def p4_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return credentials.scan(table(spark, sf_dir, "ai_requests"), "request_id", "code_excerpt").select("record_id", F.array_join("kinds", ",").alias("kinds"), "redacted")
 
 
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return syntax.invalid_files(table(spark, sf_dir, "files")).select("project_id", F.col("path").alias("file_path"))
+
+
+def p6_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return syntax.invalid_rates(table(spark, sf_dir, "files"), table(spark, sf_dir, "parse_results"))
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leakage.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
 
@@ -48,6 +56,8 @@ QUERIES = {
     "p2_strongest_targets": p2_strongest_targets,
     "p4_found": p4_found,
     "p4_redacted": p4_redacted,
+    "p6_found": p6_found,
+    "p6_rates": p6_rates,
     "p7_found": p7_found,
     "p7_leaked_items": p7_leaked_items,
     "p9_found": p9_found,
