@@ -62,3 +62,9 @@ def stage(df: DataFrame, label: str = "t") -> DataFrame:
 def small_side(staged: Staged, limit: int = BROADCAST_ROWS) -> DataFrame:
     """The staged rows, hinted for broadcast only if their counted number is within the limit."""
     return F.broadcast(staged.df) if staged.count() <= limit else staged.df
+
+
+def balanced(df: DataFrame, *keys: str, factor: int = 2) -> DataFrame:
+    """df for work that is heavy per row: spread by the keys if it has fewer partitions than `factor` a core."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores * factor * 2, *keys) if df.rdd.getNumPartitions() < cores * factor else df
