@@ -5,10 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cartolith.llm import credentials, encoding, leakage, syntax, topn
+from cartolith.llm import credentials, encoding, leakage, mixing, sourcefiles, syntax, topn
 from cartolith.runtime import table
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sourcefiles.machine_files(table(spark, sf_dir, "files")).select("project_id", F.col("path").alias("file_path"))
+
+
+def p1_hand_written(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sourcefiles.hand_written(table(spark, sf_dir, "files"), table(spark, sf_dir, "nodes"), table(spark, sf_dir, "analysis_report"))
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     edge = topn.strongest_targets(table(spark, sf_dir, "edges")).select(F.lit("edge").alias("group_type"), F.col("from_id").alias("group_id"), F.col("to_id").alias("item_id"))
     module = topn.best_candidates(table(spark, sf_dir, "nodes")).select(F.lit("module").alias("group_type"), F.col("module_id").alias("group_id"), F.col("id").alias("item_id"))
@@ -43,6 +51,14 @@ def p7_leaked_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p7_found(spark, sf_dir).groupBy("item_id").agg(F.count(F.lit(1)).alias("documents"))
 
 
+def p8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))[0]
+
+
+def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))[1]
+
+
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoding.garbled_documents(table(spark, sf_dir, "documents")).select("doc_id").distinct()
 
@@ -52,6 +68,8 @@ def p9_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "p1_found": p1_found,
+    "p1_hand_written": p1_hand_written,
     "p2_found": p2_found,
     "p2_strongest_targets": p2_strongest_targets,
     "p4_found": p4_found,
@@ -60,6 +78,8 @@ QUERIES = {
     "p6_rates": p6_rates,
     "p7_found": p7_found,
     "p7_leaked_items": p7_leaked_items,
+    "p8_mix": p8_mix,
+    "p8_shares": p8_shares,
     "p9_found": p9_found,
     "p9_restored": p9_restored,
 }
