@@ -28,8 +28,8 @@ def _linked(nodes: DataFrame) -> DataFrame:
 
 def _cycle_nodes(links: DataFrame) -> Staged:
     """Ids on cycles. Leaves (and nodes whose parent is settled) are peeled for a few rounds; what is left is
-    settled by doubling: a node whose 2^k-th ancestor exists for 2^k beyond the number of nodes left is on or
-    below a cycle, and the targets of these jumps are exactly the nodes on cycles."""
+    settled by doubling: a node whose 2^k-th ancestor exists for 2^k beyond the number of nodes that were not peeled
+    is on or below a cycle, and the targets of these jumps are exactly the nodes on cycles."""
     rest = Staged(links.where(F.col("parent").isNotNull()), "peel")
     left = rest.count()
     for _ in range(PEEL_ROUNDS):
@@ -43,8 +43,8 @@ def _cycle_nodes(links: DataFrame) -> Staged:
         left = rest.count()
         if left == before:
             break
-    jumps, reach = Staged(rest.df.select("id", F.col("parent").alias("jump")), "jump"), 1
-    while left and reach <= left:
+    jumps, reach, longest = Staged(rest.df.select("id", F.col("parent").alias("jump")), "jump"), 1, left
+    while left and reach <= longest:
         hop = jumps.df.select(F.col("id").alias("jump"), F.col("jump").alias("next"))
         new = Staged(jumps.df.join(hop, "jump").select("id", F.col("next").alias("jump")), "jump")
         jumps.drop()
