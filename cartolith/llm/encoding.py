@@ -259,6 +259,20 @@ def _neighbours(text: str) -> Iterator[tuple[str, str]]:
             yield f"{read}>{written}", _recode(text, read, written)
 
 
+def _chains(text: str) -> Iterator[tuple[tuple[str, ...], str]]:
+    """The neighbours as paths; a step from UTF-8 also up to three times in a row, as texts are garbled by a fault
+    that repeats."""
+    for step, t in _neighbours(text):
+        yield (step,), t
+        if step.endswith(">utf-8") and step.split(">")[0] in READ_AS:
+            for times in (2, 3):
+                again = apply(t, step)
+                if again == t:
+                    break
+                t = again
+                yield (step,) * times, t
+
+
 def _shrunk(before: str, after: str) -> float:
     """By which share the characters beyond ASCII became fewer; UTF-8 read byte by byte shrinks by a half or more."""
     high = sum(c > "\x7f" for c in before)
@@ -278,12 +292,13 @@ def restore(text: str, hint: tuple[str, ...] = ()) -> tuple[str, tuple[str, ...]
     best, path = (start, text), ()
     queue, visited = [(start, 0, text, ())], {hash(text)}
     for _ in range(EXPANSIONS):
-        if not queue or (path and queue[0][0] > best[0] + 12):
+        if not queue:
             break
         here, steps, t, so_far = heapq.heappop(queue)
         here -= STEP_COST * steps
         strong = False  # UTF-8 that was read as something else is well-formed by no accident
-        for step, t2 in _neighbours(t):
+        for taken, t2 in _chains(t):
+            step = taken[-1]
             legacy = step != "unescape" and not step.endswith(">utf-8")
             if legacy and strong:
                 break
@@ -295,11 +310,11 @@ def restore(text: str, hint: tuple[str, ...] = ()) -> tuple[str, tuple[str, ...]
             strong = strong or (not legacy and there <= 0.65 * here and _shrunk(t, t2) >= 0.4)
             if legacy and (there > 0.6 * here or here < LEGACY_LEAST):
                 continue
-            c = there + STEP_COST * (steps + 1 + LEGACY_STEPS * legacy)
+            c = there + STEP_COST * (steps + len(taken) + LEGACY_STEPS * legacy)
             if c < best[0] - (MARGIN if not path else 0):
-                best, path = (c, t2), (*so_far, step)
+                best, path = (c, t2), (*so_far, *taken)
             if c < start * 1.2 + 4:
-                heapq.heappush(queue, (c, steps + 1 + LEGACY_STEPS * legacy, t2, (*so_far, step)))
+                heapq.heappush(queue, (c, steps + len(taken) + LEGACY_STEPS * legacy, t2, (*so_far, *taken)))
         if path and not any(s != "unescape" and not s.endswith(">utf-8") for s in path) and not (char_costs(best[1]) >= 2.4).any() and not _ESCAPES.search(best[1]):
             break
     return best[1], path

@@ -130,7 +130,7 @@ def lex(text: str, lang: str) -> list[tuple[str, int]]:
                 out.append(("ERR", 0))
                 return out
             kind, at0, at = "T", at, end
-        elif script and c == "/" and prev not in _ENDS and (m := _REGEX.match(text, at)):
+        elif script and c == "/" and (prev not in _ENDS or prev in ("return", "of", "yield")) and (m := _REGEX.match(text, at)):
             kind, at0, at = "S", at, m.end()
         else:
             m = master.match(text, at)

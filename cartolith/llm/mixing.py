@@ -95,5 +95,5 @@ def mix(documents: DataFrame, targets: DataFrame, total: int | None = None, seed
     chosen = placed.withColumn("copies", F.least(F.col("epochs") + once, F.col("max_repeats"))).where("copies > 0").select("doc_id", "source", "tokens", "copies")
     used = chosen.groupBy("source").agg(F.sum(F.col("tokens") * F.col("copies")).alias("used"), F.sum("copies").alias("records"))
     report = plan.join(used, "source", "left").fillna(0, ["used", "records"])
-    reached = F.col("used") / F.sum("used").over(Window.partitionBy(F.lit(1)))
+    reached = F.coalesce(F.try_divide(F.col("used"), F.sum("used").over(Window.partitionBy(F.lit(1)))), F.lit(0.0))
     return chosen, report.select("source", "target_share", "share", "max_repeats", "documents", "available", "budget", "used", "records", reached.alias("reached_share"))
