@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -128,3 +131,37 @@ def hierarchy(symbols: DataFrame, scope: str = "project_id", key: str = "identit
         F.when(ok, ((F.col("from_end") - F.col("exit_end") - 1) / 2).cast("bigint")).alias("descendants"),
         F.col("id").alias("node_no"), F.col("root").alias("tree_no"),
     )
+
+
+def _unwound(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Walks each part in tour order with the stack of open nodes; seed rows put the ancestors of its first node there."""
+    part, tree, stack = None, None, []
+    for pdf in batches:
+        out = []
+        for row in pdf.itertuples(index=False):
+            if row.part != part:
+                part, tree, stack = row.part, None, []
+            if row.tree != tree:
+                tree, stack = row.tree, []
+            while stack and stack[-1][0] < row.entry:
+                stack.pop()
+            if not row.seed:
+                out.append((row.node, [k for _, k in stack]))
+            stack.append((row.exit, row.name))
+        yield pd.DataFrame(out, columns=["node_no", "ancestors"])
+
+
+def with_ancestors(tree: DataFrame, key: str = "identity_key") -> DataFrame:
+    """hierarchy() of the nodes off cycles, with `ancestors`, the keys from the root down to the parent.
+
+    Nodes are range-partitioned by (tree, entry) at sampled quantiles, so a large tree is cut into many parts. The
+    ancestors of a part's first node are those whose interval holds its entry; with them as a start each part is
+    walked alone. The parts' first nodes are one row a part."""
+    ok = tree.where("depth >= 0").select("node_no", "tree_no", "entry", "exit", F.col(key).alias("name"))
+    parts = Staged(ok.repartitionByRange("tree_no", "entry").withColumn("part", F.spark_partition_id()), "parts")
+    first = parts.df.groupBy("part").agg(F.min(F.struct("tree_no", "entry")).alias("at")).select("part", F.col("at.tree_no").alias("t"), F.col("at.entry").alias("at"))
+    above = ok.join(F.broadcast(first), (F.col("tree_no") == F.col("t")) & (F.col("entry") < F.col("at")) & (F.col("exit") > F.col("at")))
+    cols = lambda seed: [F.col("part"), F.col("tree_no").alias("tree"), F.lit(seed).alias("seed"), F.col("node_no").alias("node"), "entry", "exit", "name"]
+    rows = parts.df.select(*cols(False)).unionByName(above.select(*cols(True)))
+    walked = rows.repartition("part").sortWithinPartitions("part", "tree", "entry").mapInPandas(_unwound, "node_no bigint, ancestors array<string>")
+    return tree.where("depth >= 0").join(walked, "node_no")
