@@ -23,6 +23,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cartolith.runtime import balanced
+
 #: Characters from a wrong decoding that make a text a case.
 LEAST_GARBLED = 3
 #: States of one stretch of text that are expanded.
@@ -397,6 +399,7 @@ def garbled_documents(documents: DataFrame, doc_id: str = "doc_id", text: str =
     """(doc_id, garbled, restored, path) of documents with LEAST_GARBLED or more characters from a wrong decoding.
 
     restored is the whole text with what could be had back; path names the first steps taken. Null and empty texts
-    and null ids give no row; repeated rows give repeated rows; other columns are ignored. One pass, no shuffle."""
+    and null ids give no row; repeated rows give repeated rows; other columns are ignored. One pass; texts are shuffled only
+    if their partitions are too few for the cores."""
     body = documents.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text")).where("doc_id IS NOT NULL AND length(text) > 0")
-    return body.mapInPandas(_scan, "doc_id bigint, garbled bigint, restored string, path string")
+    return balanced(body, "doc_id").mapInPandas(_scan, "doc_id bigint, garbled bigint, restored string, path string")
