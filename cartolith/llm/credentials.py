@@ -52,13 +52,14 @@ _USERPASS = re.compile(r"(?<![\w-])(?:-u|--user)[= ](?:\"|')?[\w.@-]+:([^\s\"'`]
 _SCHEME = re.compile(r"(?i)\b(bearer|basic|token)[ ]+([A-Za-z0-9!-/:;=?@\[\]^_~]{6,})")
 _LITERAL = re.compile(r"\"\"\"(?:[^\\]|\\.)*?\"\"\"|'''(?:[^\\]|\\.)*?'''|\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|`(?:[^`\\]|\\.)*`", re.S)
 _NAME_BEFORE = re.compile(r"([A-Za-z_][\w.-]*)(?:\\?[\"'`])?\s*\]?\s*(?:\[\s*\w*\s*\])?\s*(?::\s*[A-Za-z_][\w<>\[\] ]*?\s*=|:=|=>|[:={(,])\s*(?:\(\s*)?(?:[A-Za-z_][\w:.]*\()?\s*$")
+_DEFINED = re.compile(r"(?:#[ \t]*define|\bsetenv|\bENV)[ \t]+([A-Za-z_]\w*)[ \t]+$")
 _GLUE = re.compile(r"\s*(?:\\\r?\n|\+|\.\.?)?\s*")
 _CONFIG_LINE = re.compile(r"(?m)^[ \t]*(?:export[ \t]+|set[ \t]+|ENV[ \t]+|ARG[ \t]+|-[ \t]+)?([A-Za-z_][\w.-]*)[ \t]*[=:][ \t]*([^\s\"'`()<>{}\[\];,]+)[ \t]*\\?\r?$")
 _XML = re.compile(r"<([A-Za-z_][\w.-]*)>\s*([^<>\s]+)\s*</\1>")
 _COMMENT = re.compile(r"(?im)^.*?(?://|#|/\*|--|;)[^\n]*?(?:\b(?:pass(?:word|wd|phrase)?|pw|pwd|key|token|secret|login|cred(?:ential)?s?)\b|密码|密钥|口令|令牌)[^\n:=：]*[:=：][ \t]*(\S{6,})[ \t]*(?:\*/)?\r?$")
 _PLACEHOLDER = re.compile(
-    r"(?i)^<.*>$|^&lt;.*&gt;$|^\[.*\]$|^\{\{.*\}\}$|your[-_ ]?|example|placeholder|change[-_ ]?me|change[-_ ]?it|replace|insert|put[-_ ]|to[-_]?do\b|dummy|sample|redacted|masked|hidden|"
-    r"fixme|not[-_ ]?set|none$|null$|undefined$|^test$|示例|占位|你的|替换|x{4,}|\*{3,}|•{3,}|\.{3,}|#{3,}|_{4,}|-here$"
+    r"(?i)^<.*>$|^&lt;.*&gt;$|^\[.*\]$|^\{\{.*\}\}$|(?<![a-z0-9])(?:your|example|placeholder|change[-_ ]?me|change[-_ ]?it|replace|insert|put[-_ ]|to[-_]?do(?![a-z])|dummy|sample|redacted|masked|hidden|"
+    r"fixme|not[-_ ]?set)|[-_]placeholder|^(?:none|null|undefined|test)$|示例|占位|你的|替换|^(?:[a-z]{1,6}[-_])*x{4,}$|x{6,}|\*{3,}|•{3,}|\.{3,}|#{3,}|_{4,}|[-_ ]here$"
 )
 _REFERENCE = re.compile(r"(?i)^\$|^%\w+%$|^@\w+@?$|^#\{|^(?:env|vault|file|secret|secrets|ssm|arn|kms|ref|cmake|keyring|op|aws|gcp|azure)[:/]|^[a-z][a-z0-9+.-]*://|^(?:os\.|process\.|system\.|getenv|config\.|settings\.|self\.|this\.)|^enc\[")
 _HASHISH = re.compile(r"^(?:sha(?:1|256|384|512)[-:]|data:|md5[-:])|^[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}$")
@@ -229,7 +230,7 @@ def find(text: str, layer: int = 0) -> list[tuple[list[tuple[int, int]], str]]:
     i = 0
     while i < len(literals):
         j = i
-        while j + 1 < len(literals) and (g := _GLUE.fullmatch(text, literals[j][1], literals[j + 1][0])) is not None and ("\n" in g[0] or "+" in g[0]):
+        while j + 1 < len(literals) and (g := _GLUE.fullmatch(text, literals[j][1], literals[j + 1][0])) is not None and ("+" in g[0] or ("\n" in g[0] and not any(text[a : a + 3] in ('"""', "'''") for a, _ in literals[j : j + 2]))):
             j += 1
         pieces = [(a + w, b - w) for a, b in literals[i : j + 1] for w in [3 if b - a >= 6 and text[a : a + 3] in ('"""', "'''") else 1]]
         value = "".join(text[a:b] for a, b in pieces)
@@ -237,7 +238,7 @@ def find(text: str, layer: int = 0) -> list[tuple[list[tuple[int, int]], str]]:
         if not value.strip():
             continue
         before = text[max(0, pieces[0][0] - 120) : pieces[0][0]].rstrip("\"'`")
-        name = _NAME_BEFORE.search(before)
+        name = _NAME_BEFORE.search(before) or _DEFINED.search(before)
         kind = name_kind(name[1]) if name else ""
         if name and kind == "" and text[max(0, pieces[0][0] - 120) : pieces[0][0]].rstrip("\"'`").rstrip().endswith(","):
             # a call with the name as its first literal, set("client.secret", "…")

@@ -13,6 +13,9 @@ SECRET = "aG7kQ2pLx9ZwT4vBn8Rd"
 @pytest.mark.parametrize("text, lines", [
     (f'x = 1\napi_key = "{SECRET}"', [2]),
     (f"password: {SECRET}\n", [1]),
+    ("PWD = 'Harbour#2012'\n\"\"\"\n-----BEGIN PUBLIC KEY-----\nMIIBIjANBgkqhkiG9w0\n-----END PUBLIC KEY-----\n\"\"\"", [1]),
+    ("t = 'eyJhbGciOiJIUzI1NiJ9.eyJzdWIiOiIyOUR2WGJaSCJ9.GiJByGqRCZAek5r3lErfpOYjNX6yOUR4'", [1]),
+    (f'#define SIGNING_KEY "{SECRET}"', [1]),
     (f"<password>{SECRET}</password>", [1]),
     (f'url = "postgres://app:{SECRET}@db.example/x"', [1]),
     (f'c = "Server=a;Password={SECRET};Timeout=3"', [1]),
