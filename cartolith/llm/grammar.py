@@ -331,7 +331,7 @@ def _angle(lang: str) -> re.Pattern[str]:
 _ANGLE = {lang: _angle(lang) for lang in ("java", "typescript", "cpp")}
 
 
-@lru_cache(200_000)
+@lru_cache(50_000)
 def valid_group(lang: str, symbols: str) -> bool:
     """Whether a group, from its opening to its closing bracket ('^' and '$' at the top level), is well-formed."""
     if lang in _ANGLE and symbol("<") in symbols and symbol(">") in symbols:

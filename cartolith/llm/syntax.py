@@ -62,7 +62,7 @@ def _lex(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             ords.append(np.arange(n, dtype=np.int32))
             symbols += [grammar.symbol(k) for k, _ in tokens]
             steps += [s for _, s in tokens]
-            if len(symbols) > 200_000:
+            if len(symbols) > 50_000:
                 yield _frame(f1, f2, langs, ords, symbols, steps)
                 f1, f2, langs, ords, symbols, steps = [], [], [], [], [], []
         if f1:
