@@ -54,7 +54,7 @@ INSIGHT = "summary string, responsibility string, confidence string, steps array
 def insight(text: Column) -> Column:
     """A typed record of an insight object; lists trimmed, without blanks and repeats."""
     r = F.from_json(strip_code_fence(text), INSIGHT)
-    clean = lambda a: F.array_distinct(F.filter(F.transform(a, F.trim), lambda x: x != ""))
+    clean = lambda a: F.array_distinct(F.filter(F.transform(a, lambda x: F.trim(x)), lambda x: x != ""))
     return F.struct(r["summary"].alias("summary"), r["responsibility"].alias("responsibility"), r["confidence"].alias("confidence"), clean(r["steps"]).alias("steps"), clean(r["risks"]).alias("risks"))
 
 
