@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from cartolith.functions import paths as P
 from cartolith.functions import text as T
-from cartolith.operators import extract, resolve, rollup, rules
+from cartolith.operators import cpp_facts, extract, resolve, rollup, rules
 from cartolith.plans.sqlparts import LINES, NEWEST, PATHS, base, ext, in_list
 from cartolith.runtime import table
 from cartolith.sources.tables import file_lines, file_paths, newest_files
@@ -187,10 +187,18 @@ def file_clusters(spark, d):
     return file_paths(spark, d).groupBy("project_id", F.regexp_replace("path", r"\.[^.]*$", "").alias("cluster")).agg(F.count(F.lit(1)).alias("files"), F.array_join(F.array_sort(F.collect_set(P.extension(F.col("path")))), ",").alias("extensions"))
 
 
+def cpp_symbols(spark, d):
+    return cpp_facts.cpp_symbols(newest_files(spark, d))
+
+
+def cpp_call_resolution(spark, d):
+    return cpp_facts.resolved_calls(newest_files(spark, d))
+
+
 QUERIES = {f.__name__: f for f in (
     path_parts, extension_classes, language_counts, scan_filter, scan_manifest, changed_files, module_inference, module_inference_single, common_folder, prefix_rule_last_wins, prefix_rule_first_wins,
     ignore_prefix_anti, module_merge_fold, dependency_folders, include_lines, import_lines, symbol_lines, file_facts, include_resolution, java_import_targets, script_import_targets, unique_basenames,
-    unique_suffixes, behaviour_signals, import_clues, sliding_complexity, running_brace_depth, preview_anchors, name_functions, name_hash, document_highlights, free_text_filter, single_files_by_module, file_clusters)}
+    unique_suffixes, behaviour_signals, import_clues, sliding_complexity, running_brace_depth, preview_anchors, name_functions, name_hash, document_highlights, free_text_filter, single_files_by_module, file_clusters, cpp_symbols, cpp_call_resolution)}
 
 _CPP, _EXT, _BASE = in_list(P.CPP), ext(), base()
 _MANIFEST = f"({_BASE} IN ({in_list(P.MANIFESTS)}) OR regexp_matches({_BASE}, '\\.(pro|pri)$'))"
