@@ -87,11 +87,12 @@ def is_dependency_segment(segment: Column) -> Column:
     return s.isin(*DEPENDENCY_DIRS) | s.rlike("qxlsx|vendor|dependency")
 
 
-def pruned_at(path: Column) -> Column:
-    """The first folder of a path that a scan does not enter, null if it enters all; third-party only at the root."""
+def pruned_at(path: Column, third_party: bool = False) -> Column:
+    """The first folder of a path that a scan does not enter, null if it enters all. Third-party folders are left out
+    at the root only, and not at all if third_party is set."""
     dirs = F.slice(segments(path), 1, F.greatest(F.size(segments(path)) - 1, F.lit(0)))
     low = F.transform(dirs, lambda s, i: F.struct(F.lower(s).alias("s"), i.alias("i")))
-    hit = F.filter(low, lambda d: d["s"].isin(*BUILD_DIRS) | d["s"].rlike(r"^(cmake-build-|qtcreator-|msvc|\.qt)") | ((d["i"] == 0) & is_dependency_segment(d["s"])))
+    hit = F.filter(low, lambda d: d["s"].isin(*BUILD_DIRS) | d["s"].rlike(r"^(cmake-build-|qtcreator-|msvc|\.qt)") | (F.lit(not third_party) & (d["i"] == 0) & is_dependency_segment(d["s"])))
     return F.try_element_at(hit, F.lit(1))["s"]
 
 

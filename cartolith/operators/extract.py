@@ -25,7 +25,7 @@ def imports(lines: DataFrame) -> DataFrame:
 
     Python keeps the first segment of the module without relative dots; Java the last segment as name; scripts what
     follows the last `from ` or the first `require(`, even in prose, with the package root as name."""
-    line, lang = F.col("line"), language(F.col("path"))
+    line, lang = F.regexp_replace("line", r"^\s+", ""), language(F.col("path"))
     plain = F.regexp_extract(line, r"^import ([^ ,.]*)", 1)
     module = F.regexp_replace(F.regexp_extract(line, r"^from (.*?) import ", 1), r"^\.+", "")
     python = F.coalesce(_kept(plain), _kept(F.substring_index(module, ".", 1)))
@@ -42,7 +42,7 @@ def imports(lines: DataFrame) -> DataFrame:
 
 def symbols(lines: DataFrame) -> DataFrame:
     """(…, kind, name): class and function declarations; the first rule that a line meets."""
-    line, lang = F.col("line"), language(F.col("path"))
+    line, lang = F.regexp_replace("line", r"^\s+", ""), language(F.col("path"))
     part = lambda pattern: F.regexp_extract(line, pattern, 1)
     py_class, py_def = _kept(part(r"^class ([^(:. \t]*)")), _kept(part(r"^def ([^(]*)"))
     any_class, function = _kept(part(r"class ([^ {<]*)")), _kept(part(r"function ([^(]*)"))

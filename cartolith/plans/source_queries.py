@@ -217,7 +217,7 @@ _MEETS = lambda c, m: f"({c} = {m} OR starts_with({c}, {m} || '/'))"  # noqa: E7
 _INC = LINES + f""", inc AS (SELECT project_id, path, line_no, CASE WHEN q <> '' THEN q ELSE a END AS target, q = '' AS is_system FROM (
   SELECT *, regexp_extract(line, '^\\s*#\\s*include\\s*"([^"]*)"', 1) AS q, regexp_extract(line, '^\\s*#\\s*include\\s*<([^>]*)>', 1) AS a FROM lines
   WHERE {_EXT} IN ({_CPP}) AND regexp_matches(line, '^\\s*#\\s*include\\s*("[^"]*"|<[^>]*>)')) WHERE q <> '' OR a <> '')"""
-_IMP = LINES + f""", typed AS (SELECT *, {_LANG} AS language FROM lines),
+_IMP = LINES + f""", typed AS (SELECT * REPLACE (regexp_replace(line, '^\\s+', '') AS line), {_LANG} AS language FROM lines),
 spec AS (SELECT *, CASE language
     WHEN 'python' THEN coalesce(nullif(regexp_extract(line, '^import ([^ ,.]*)', 1), ''), nullif(string_split(regexp_replace(regexp_extract(line, '^from (.*?) import ', 1), '^\\.+', ''), '.')[1], ''))
     WHEN 'java' THEN nullif(trim(string_split(regexp_extract(line, '^import (?:static )?(.*)$', 1), ';')[1]), '')
