@@ -9,7 +9,7 @@ from cartolith.functions import paths as P
 from cartolith.functions import text as T
 from cartolith.operators import cpp_facts, extract, resolve, rollup, rules
 from cartolith.plans.sqlparts import LINES, NEWEST, PATHS, base, ext, in_list
-from cartolith.runtime import table
+from cartolith.runtime import Staged, table
 from cartolith.sources.tables import file_lines, file_paths, newest_files
 
 #: Rules of the example configuration that the rule queries apply.
@@ -22,6 +22,11 @@ def _lines(spark: SparkSession, d: str) -> DataFrame:
     return file_lines(newest_files(spark, d))
 
 
+def _imports(spark: SparkSession, d: str) -> DataFrame:
+    """Staged, for the ladders read them more than once and the texts should be read only once."""
+    return Staged(extract.imports(_lines(spark, d)), "imports").df
+
+
 def _rules(spark: SparkSession, rows, value: str) -> DataFrame:
     return spark.createDataFrame(rows, f"ord int, match string, {value} string")
 
@@ -119,11 +124,11 @@ def include_resolution(spark, d):
 
 
 def java_import_targets(spark, d):
-    return resolve.resolve_java_imports(extract.imports(_lines(spark, d)), file_paths(spark, d))
+    return resolve.resolve_java_imports(_imports(spark, d), file_paths(spark, d))
 
 
 def script_import_targets(spark, d):
-    return resolve.resolve_script_imports(extract.imports(_lines(spark, d)), file_paths(spark, d))
+    return resolve.resolve_script_imports(_imports(spark, d), file_paths(spark, d))
 
 
 def unique_basenames(spark, d):
