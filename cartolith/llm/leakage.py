@@ -3,7 +3,7 @@
 A passage of `length` units (words, or characters of Chinese and Japanese items) with at most one error in
 ERROR_UNITS holds, by the pigeonhole principle, an exact piece of PIECE units: `length` units cut by k errors into
 k + 1 runs leave a run of (length - k) / (k + 1) units. Items are few, so the pieces at all of their offsets are an
-index that every task holds; documents are read once and never shuffled. The q-gram lemma then asks for a number of
+index that every task holds; documents are read once, and shuffled only if their partitions are too few for the cores. The q-gram lemma then asks for a number of
 piece hits before a window is verified.
 """
 
@@ -20,6 +20,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cartolith.runtime import balanced
+
 WORDS, CHARS = 24, 30
 ERROR_UNITS = 9
 PIECE = 6
@@ -146,7 +148,7 @@ def leaks(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", text:
     empty texts and ids give no row, items shorter than a passage cannot leak, equal documents give a row each."""
     held = items.select(F.col("item_id").cast("bigint").alias("item_id"), F.col("text").alias("text")).where("item_id IS NOT NULL AND length(text) > 0").distinct()
     blocks = max(1, -(-held.count() // ITEMS_PER_PASS))
-    docs = documents.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text")).where("doc_id IS NOT NULL AND length(text) > 0")
+    docs = balanced(documents.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text")).where("doc_id IS NOT NULL AND length(text) > 0"), "doc_id")
     out = None
     for b in range(blocks):
         rows = held.where(F.pmod(F.hash("item_id"), F.lit(blocks)) == b).collect()
