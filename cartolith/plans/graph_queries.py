@@ -250,9 +250,10 @@ def capability_rollup(spark, d):
     return c.select("project_id", "cluster", "kind", "name", "module_count", "file_count", "stage_start", "stage_end", "reachable", "in_degree", "out_degree", "dominant_role", F.array_join("symbols", ",").alias("symbols"), F.array_join("example_files", ",").alias("example_files"))
 
 
-def capability_edges(spark, d):
+def capability_edges(spark, d, overview: DataFrame | None = None):
     _, e = module_graph(spark, d)
-    c = Staged(O.capabilities(overview_table(spark, d)).select("id", "project_id", "cluster", "kind"), "caps").df
+    o = overview if overview is not None else overview_table(spark, d)
+    c = Staged(O.capabilities(o).select("id", "project_id", "cluster", "kind"), "caps").df
     a, b = c.select(F.col("id").alias("f"), "project_id", F.col("cluster").alias("from_cluster"), F.col("kind").alias("fk")), c.select(F.col("id").alias("t"), F.col("cluster").alias("to_cluster"), F.col("kind").alias("tk"))
     j = e.join(a, "f").join(b, "t").where("from_cluster <> to_cluster")
     kind = F.when(F.col("fk") == "entry", "activates").when(F.col("tk") == "infrastructure", "uses_infrastructure").otherwise("enables")
@@ -261,9 +262,9 @@ def capability_edges(spark, d):
     return g.withColumn("confidence", score.cast("int")).withColumn("label", O.confidence_label(F.col("confidence"), 75, 45))
 
 
-def capability_scores(spark, d):
+def capability_scores(spark, d, overview: DataFrame | None = None):
     _, e = module_graph(spark, d)
-    caps = Staged(O.capabilities(overview_table(spark, d)), "caps").df
+    caps = Staged(O.capabilities(overview if overview is not None else overview_table(spark, d)), "caps").df
     k = caps.select("id", F.struct("project_id", "cluster").alias("k"))
     pair = e.join(k.select(F.col("id").alias("f"), F.col("k").alias("a")), "f").join(k.select(F.col("id").alias("t"), F.col("k").alias("b")), "t").where("a <> b").select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("p"))
     n = pair.groupBy(F.col("p.a.project_id").alias("project_id"), F.col("p.a.cluster").alias("cluster")).agg(F.count_distinct("p.b").alias("collaborators"))
@@ -273,7 +274,8 @@ def capability_scores(spark, d):
 
 def pruned_capabilities(spark, d):
     """At most 40 visible capabilities of a project, by weight; entries always."""
-    s = capability_scores(spark, d).join(O.clusters(O.capabilities(overview_table(spark, d))).select("project_id", "cluster", "kind", "name", "file_count"), ["project_id", "cluster"])
+    o = overview_table(spark, d)
+    s = capability_scores(spark, d, o).join(O.clusters(O.capabilities(o)).select("project_id", "cluster", "kind", "name", "file_count"), ["project_id", "cluster"])
     weight = F.col("priority") * 100 + F.col("collaborators") * 10 + F.col("file_count") + F.when(F.col("kind") == "entry", 1000000).otherwise(0)
     r = s.withColumn("weight", weight).withColumn("place", F.row_number().over(Window.partitionBy("project_id").orderBy(F.desc("weight"), "name", "cluster")))
     return r.select("project_id", "cluster", "weight", ((F.col("place") <= 40) | (F.col("kind") == "entry")).alias("visible"))
