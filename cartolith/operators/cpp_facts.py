@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 
 from cartolith.functions.paths import CPP, extension
 from cartolith.operators import resolve
-from cartolith.runtime import balanced
 
 _TOKEN = re.compile(
     r"(?P<skip>\s+|//(?:[^\n\\]|\\.)*|/\*.*?\*/|(?<![^\n])[ \t]*#(?:[^\n\\]|\\(?:\r?\n|.))*)|(?P<str>(?:u8|[uUL])?R\"(?P<d>[^()\\\s]{0,16})\(.*?\)(?P=d)\"|\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'(?!\w))|"
@@ -144,8 +143,7 @@ def _rows(which: int):
 
 
 def _cpp(files: DataFrame) -> DataFrame:
-    f = files.where(extension(F.col("path")).isin(*CPP) & F.col("content").isNotNull()).select("project_id", "path", "content")
-    return balanced(f, "project_id", "path")
+    return files.where(extension(F.col("path")).isin(*CPP) & F.col("content").isNotNull()).select("project_id", "path", "content")
 
 
 def cpp_symbols(files: DataFrame) -> DataFrame:

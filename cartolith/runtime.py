@@ -23,7 +23,7 @@ def shared_dir(spark: SparkSession) -> str:
     configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if configured:
         return configured
-    if not spark.sparkContext.master.startswith("local["):
+    if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     made = tempfile.mkdtemp(prefix="cartolith-")
     atexit.register(shutil.rmtree, made, ignore_errors=True)
@@ -65,6 +65,7 @@ def small_side(staged: Staged, limit: int = BROADCAST_ROWS) -> DataFrame:
 
 
 def balanced(df: DataFrame, *keys: str, factor: int = 2) -> DataFrame:
-    """df for work that is heavy per row: spread by the keys if it has fewer partitions than `factor` a core."""
+    """df for work that is heavy per row: spread by the keys if it has fewer partitions than `factor` a core. df should
+    be a scan without a shuffle, as the stages before one would run to tell the number."""
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores * factor * 2, *keys) if df.rdd.getNumPartitions() < cores * factor else df
