@@ -26,7 +26,7 @@ def symbol(word: str) -> str:
 
 
 _OWN = (
-    "I N S T P K B Z G ERR ! NL INDENT DEDENT ( ) [ ] { } ; , . ?. :: -> => ... ? : = b u x + - * < > & && | ~ @ op= := ** => ^ $".split()
+    "I N S T E P K B Z G ERR ! NL INDENT DEDENT ( ) [ ] { } ; , . ?. :: -> => ... ? : = b u x + - * < > & && | ~ @ op= := ** => ^ $".split()
     + sorted({w for words in KEYWORDS.values() for w in words})
 )
 for _n, _w in enumerate(dict.fromkeys(_OWN)):
@@ -41,22 +41,22 @@ _TS_NAME = "( I | of | from | as | async | static | get | set | let | type | nam
 def _script(ts: bool) -> dict[str, str]:
     """JavaScript, and TypeScript with its types."""
     name, ann = (_TS_NAME, "( : <type> )?") if ts else (_JS_NAME, "")
-    ret = "( : ( <name> is )? <type> )?" if ts else ""
+    ret = "( : ( I? <name> is )? <type> )?" if ts else ""
     g = "G?" if ts else ""
     mods = "( async | static | get | set | * " + ("| public | private | protected | readonly | abstract | declare | override " if ts else "") + "| @ <name> ( . <name> )* P? )*"
     d = {
         "name": name,
         "type": "( ( b | & | '|' )? ( ( keyof | readonly | typeof | infer | new | abstract )* ( ( <name> | void | this | import P | S | N | - N | T | P | K | B | new P ) ( . <name> )* G? ( K )* ( is <type1> )? ) ) ( extends <type1> ? <type1> : <type1> )? ( => ( <name> is )? <type1> )? ( ( '|' | & ) <type1> ( => <type1> )? )* )",
         "type1": "( ( keyof | readonly | typeof | infer )* ( <name> | void | this | S | N | - N | T | P | K | B ) ( . <name> )* G? ( K )* ( => ( <name> | void | S | P | B ) G? K* )? )",
-        "unary": "( u | ! | + | - | x | typeof | void | delete | await | yield *? | new | async " + ("| P : ( <name> is )? <type> (?= => ) | G (?= P ) | < <name> > " if ts else "") + "| ... )",
-        "operand": "( async? function *? <name>? " + g + " P " + ret + " B | ( @ <name> P? )* class <name>? " + g + " ( extends <name> ( . <name> | P )* " + g + " )? " + ("( implements <type> ( , <type> )* )? " if ts else "") + "B | import P | import . <name> | <name> | N | S | T | P | K | B | this | super )",
-        "post": "( . ( <name> | this ) | ?. ( <name> | P | K ) | P | K | T | x " + ("| ! | G (?= P | T ) | ( as | satisfies ) ( I (?! . ) | <type> ) " if ts else "") + ")",
-        "binary": "( = | b | + | - | * | < | > | & | '|' | && | => | in | instanceof " + ") ( async (?= function | P | I ) )?",
+        "unary": "( u | ! | + | - | x | typeof | void | delete | await | yield *? | new | async " + ("| G (?= P ) | < <name> > " if ts else "") + "| ... )",
+        "operand": "( " + ("P : ( I? <name> is )? <type> (?= => ) | " if ts else "") + "async? function *? <name>? " + g + " P " + ret + " B | ( @ <name> P? )* class <name>? " + g + " ( extends <name> ( . <name> | P )* " + g + " )? " + ("( implements <type> ( , <type> )* )? " if ts else "") + "B | import P | import . <name> | <name> | N | S | T | P | K | B | this | super " + ("" if ts else "| E ") + ")",
+        "post": "( . ( <name> | this ) | ?. ( <name> | P | K ) | P | K | T | x " + ("| ! | G (?= P | T ) | ( as | satisfies ) ( const | I (?! . ) | <type> ) " if ts else "") + ")",
+        "binary": "( = | b | + | - | * | < | > >? >? | & | '|' | && | => | in | instanceof " + ") ( async (?= function | P | I ) )?",
         "term": "<unary>* <operand> <post>*",
         "flat": "<term> ( <binary> <term> )*",
         "expr": "{{ ( yield (?= ; | $ | , ) | <flat> ( ? <flat> ( ? <flat> : <flat> )? : <flat> )* ) }}",
         "list": "<expr> ( , <expr> )*",
-        "target": "( <name> | K | B ) " + ("!? " if ts else "") + ann,
+        "target": "( <name> | K | B " + ("" if ts else "| E ") + ") " + ("!? " if ts else "") + ann,
         "binding": "<target> ( = <expr> )?",
         "bindings": "<binding> ( , <binding> )*",
         "end": "( ; | $ )",
@@ -65,9 +65,9 @@ def _script(ts: bool) -> dict[str, str]:
         "names": "( ( " + ("type? " if ts else "") + "( <name> | S | default ) ( as ( <name> | S | default ) )? ) ( , " + ("type? " if ts else "") + "( <name> | S | default ) ( as ( <name> | S | default ) )? )* ,? )?",
         "class": "( " + mods + " ( <name> | S | N | K ) ( ? | ! )? " + g + " P " + ret + " ( B | ; " + ") | " + mods + " ( <name> | S | N | K ) ( ? | ! )? " + ann + " ( = <expr> )? ( ; | $ ) | static B | ; " + ("| " + mods + " K : <type> ; " if ts else "") + ")*",
         "cases": "( ( case <list> | default ) : ( <statement> )* )*",
-        "decl": "( " + ("( declare | abstract )* " if ts else "") + "( const | let | var ) <bindings> <end> | async? function *? <name> " + g + " P " + ret + " ( B " + ("| ; " if ts else "") + ") | ( @ <name> ( . <name> )* P? )* " + ("abstract? " if ts else "") + "class <name> " + g + " ( extends <name> ( . <name> | P )* " + g + " )? " + ("( implements <type> ( , <type> )* )? " if ts else "") + "B "
+        "decl": ("( declare | abstract )* " if ts else "") + "( ( const | let | var ) <bindings> <end> | async? function *? <name> " + g + " P " + ret + " ( B " + ("| ; " if ts else "") + ") | ( @ <name> ( . <name> )* P? )* " + ("abstract? " if ts else "") + "class <name> " + g + " ( extends <name> ( . <name> | P )* " + g + " )? " + ("( implements <type> ( , <type> )* )? " if ts else "") + "B "
         + ("| interface <name> G? ( extends <type> ( , <type> )* )? B | type <name> G? = <type> <end> | const? enum <name> B | ( namespace | module ) ( <name> ( . <name> )* | S ) B " if ts else "") + ")",
-        "statement": "( if P | for await? P | while P | else | do | <name> : | with P )* ( ; | <decl> | import ( S | " + ("type? " if ts else "") + "( <name> ( , ( B | * as <name> ) )? | B | * as <name> ) from S ( with B )? ) <end> | import P <post>* <end> | ( @ <name> ( . <name> )* P? )* export ( default ( <decl> | async? function *? P B | class ( extends <name> )? B | <expr> <end> ) | <decl> | " + ("type? " if ts else "") + "B ( from S )? <end> | * ( as <name> )? from S <end> ) | return <list>? <end> | throw <list> <end> | ( break | continue ) I? <end> | debugger <end> | try B ( catch P? B )? ( finally B )? | switch P B | B (?! . | = | [ ) ;? | <list> <end> )",
+        "statement": "( if P | for await? P | while P | else | do | <name> : | with P )* ( ; | <decl> | " + ("import type? <name> = <expr> <end> | export = <expr> <end> | declare I B | " if ts else "") + "import ( S | " + ("type? " if ts else "") + "( <name> ( , ( B | * as <name> ) )? | B | * as <name> ) from S ( with B )? ) <end> | import P <post>* <end> | ( @ <name> ( . <name> )* P? )* export ( default ( <decl> | async? function *? P B | class ( extends <name> )? B | <expr> <end> ) | <decl> | " + ("type? " if ts else "") + "B ( from S )? <end> | * ( as <name> )? from S <end> ) | return <list>? <end> | throw <list> <end> | ( break | continue ) I? <end> | debugger <end> | while P <end> | try B ( catch P? B )? ( finally B )? | switch P B | B (?! . | = | [ ) ;? | <list> <end> )",
         "block": "<statement>*",
         "params": "( ( @ <name> P? )* " + ("( public | private | protected | readonly | override )* " if ts else "") + "( ...? ( <name> | K | B | this ) " + ("?? " if ts else "") + ann + " ( = <expr> )? ) ( , ( @ <name> P? )* " + ("( public | private | protected | readonly | override )* " if ts else "") + "...? ( <name> | K | B ) " + ("?? " if ts else "") + ann + " ( = <expr> )? )* ,? )?",
         "head": "( ( const | let | var ) <bindings>? | <list> )? ; <list>? ; <list>? | ( ( const | let | var ) <target> | <name> ) ( of | in ) <list>",
@@ -90,7 +90,7 @@ _JAVA = {
     "operand": "( new ( <note> )* ( I | void ) ( . I | G )* ( P B? | K+ B? ) | switch P B | I | N | S | P | this | super | void K* (?= . class | :: ) | K+ (?= :: ) )",
     "post": "( . ( G? I | class | new I G? P B? | this | super ) | P | K | x | :: ( I | new ) | G (?= :: ) )",
     "term": "( ( P | I ) -> )* ( B | <unary>* <operand> <post>* ( instanceof final? <type> I? P? )? )",
-    "flat": "<term> ( ( = | b | + | - | * | < | > | & | && | '|' ) <term> )*",
+    "flat": "<term> ( ( = | b | + | - | * | < | > >? >? | & | && | '|' ) <term> )*",
     "expr": "{{ <flat> ( ? <flat> ( ? <flat> : <flat> )? : <flat> )* }}",
     "list": "<expr> ( , <expr> )*",
     "init": "( <expr> | B )",
@@ -125,10 +125,10 @@ _CPP = {
     "type": "( const | volatile | constexpr | static | inline )* <core> ( const | volatile )* ( * | & | && | const | volatile | ... )*",
     "unary": "( u | ~ | + | - | * | & | && | x | sizeof ...? | co_await | throw | new P? | delete K? | P (?= I | N | S | P | u | :: | this | new ) )",
     "lambda": "K ( G? P )? ( mutable | constexpr | noexcept P? )* ( -> <type> )? B",
-    "operand": "( <lambda> | new P? <type> ( P | K+ | B )? | void ( P | B ) | <path> B? | N I? | S+ I? | P | B | this | I | sizeof P | decltype P | typename <path> | auto P | requires P? B | ( const )? <path> ( * | & )* (?= $ ) | operator b | noexcept P )",
+    "operand": "( <lambda> | new P? <type> ( P | K+ | B )? | void ( P | B ) | <path> B? | N I? | S+ I? | P | B | this | I | sizeof P | decltype P | typename <path> | auto P | requires P? B | ( const )? <path> ( * | & )* (?= $ ) | operator b | noexcept P | ... )",
     "post": "( ( . | -> ) ( template? <name> | * <path> | ~ I ) | P | K | x | B | ... | I (?= P ) (?! I ) )",
     "term": "<unary>* <operand> <post>*",
-    "flat": "<term> ( ( = | b | + | - | * | < | > | & | && | '|' ) ( B | <term> ) )*",
+    "flat": "<term> ( ( = | b | + | - | * | < | > >? | & | && | '|' ) ( B | <term> ) )*",
     "expr": "{{ <flat> ( ? <flat> ( ? <flat> : <flat> )? : <flat> )* }}",
     "list": "<expr> ( , <expr> )*",
     "opname": "operator ( b | u | x | + | - | * | & | && | '|' | ~ | = | < | > | , | P | K | new K? | delete K? | -> | <type> )",
@@ -145,7 +145,7 @@ _CPP = {
     "declaration": "<template> ( <attr> <record> B ( <vars> )? ; | <record> ; | <attr> <spec>* using <path> = <type> ( P )? ; | using namespace? <path> ; | using enum? <path> ; | concept I = <expr> ; | static_assert P ; | inline? namespace <attr> ( I ( :: inline? I )* )? B | namespace I = <path> ; | extern S ( B | <declaration1> ) | friend ( class | struct )? <type> ; "
     "| <attr> <function> B | <attr> <function> ( = ( default | delete | N ) )? ; | <attr> <spec>* <type> <vars>? ; | template <core> ; )",
     "declaration1": "<spec>* <type> <vars> ;",
-    "statement": "( if constexpr? P | for P | while P | else | do | I : | case <flat> : | default : | ( public | private | protected ) I? : | K )* ( ; | B ;? | try B ( catch P B )+ | switch P B | return ( <list> | B )? ; | throw <expr>? ; | ( break | continue ) ; | goto I ; | co_return <expr>? ; | ( co_yield | delete ) <expr> ; | <declaration> | <list> ; | I P (?= I | $ | static | void | const | auto ) )",
+    "statement": "( if constexpr? P | for P | while P | else | do | I : | case <flat> : | default : | ( public | private | protected ) I? : | K )* ( ; | B ;? | try B ( catch P B )+ | switch P B | return ( <list> | B )? ; | throw <expr>? ; | ( break | continue ) ; | goto I ; | co_return <expr>? ; | ( co_yield | delete ) <expr> ; | <declaration> | <list> ; | I P (?= I | $ | static | void | const | auto ) | I (?= public | private | protected ) )",
     "block": "<statement>* ( ( case <flat> | default | public | private | protected | I ) : )*",
     "enumerators": "( I ( = <expr> )? ( , I ( = <expr> )? )* ,? )?",
     "values": "( ( ( . I = )? ( <expr> | B ) ) ( , ( ( . I = )? ( <expr> | B ) ) )* ,? )?",
@@ -165,7 +165,7 @@ _CPP = {
 _PY = {
     "name": "( I )",
     "unary": "( not | ~ | + | - | await | * | ** )",
-    "operand": "( I | N | S+ | P | K | B | ... )",
+    "operand": "( I | N | S+ | P | K | E | B | ... )",
     "post": "( . I | P | K )",
     "lambda": "lambda ( ( * | ** )* ( I ( = <plain> )? )? ( , ( * | ** | b )* ( I ( = <plain> )? )? )* )? :",
     "plain": "( not | ~ | + | - | await )* <operand> <post>* ( ( b | + | - | * | ** | @ | in | not in | is not? | and | or | '|' | & ) ( not | ~ | + | - | await )* <operand> <post>* )*",

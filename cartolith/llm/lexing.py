@@ -1,6 +1,6 @@
 """Lexers of the languages whose syntax is checked: text to (class, bracket step) pairs.
 
-A class is a short word: I name, N number, S string, T template, a keyword or operator by itself, ERR what cannot be a
+A class is a short word: I name, N number, S string, T template, E empty [ ] (where that cannot be a subscript), a keyword or operator by itself, ERR what cannot be a
 token. Brackets step one level in or out; in Python so do INDENT and DEDENT. In JavaScript and TypeScript a ; is put
 where a line ends that the next token cannot continue.
 """
@@ -27,9 +27,9 @@ _NUM = r"0[xX][0-9a-fA-F_']+[uUlLnN]*|0[bB][01_']+[uUlLnN]*|0[oO][0-7_]+n?|(?:[0
 _WORD = r"[^\W\d][\w$]*|\$[\w$]*"
 _MASTER = {
     "javascript": re.compile(rf"(?P<skip>[ \t\f\v\xa0﻿]+|//[^\n]*|/\*.*?\*/)|(?P<nl>\r?\n|\r)|(?P<str>\"(?:[^\"\\\r\n]|\\(?:\r\n|.))*\"|'(?:[^'\\\r\n]|\\(?:\r\n|.))*')|(?P<num>{_NUM})|(?P<word>#?(?:{_WORD}))|(?P<op>>>>=|\.\.\.|===|!==|\*\*=|<<=|>>=|&&=|\|\|=|\?\?=|=>|==|!=|<=|>=|&&|\|\||\?\?|\?\.(?!\d)|\+\+|--|\+=|-=|\*=|/=|%=|&=|\|=|\^=|<<|\*\*|[-+*/%=<>!~&|^?:;,.@(){{}}\[\]])", re.S),
-    "java": re.compile(rf"(?P<skip>[ \t\f\r\n﻿]+|//[^\n]*|/\*.*?\*/)|(?P<str>\"\"\"[ \t]*\r?\n(?:[^\\]|\\.)*?\"\"\"|\"(?:[^\"\\\r\n]|\\.)*\"|'(?:[^'\\\r\n]|\\(?:[btnfrs0-7'\"\\]|u+[0-9a-fA-F]{{4}})[0-7]*)')|(?P<num>{_NUM})|(?P<word>{_WORD})|(?P<op>\.\.\.|<<=|->|::|==|!=|<=|>=|&&|\|\||\+\+|--|\+=|-=|\*=|/=|%=|&=|\|=|\^=|<<|[-+*/%=<>!~&|^?:;,.@(){{}}\[\]])", re.S),
+    "java": re.compile(rf"(?P<skip>[ \t\f\r\n﻿]+|//[^\n]*|/\*.*?\*/)|(?P<str>\"\"\"[ \t]*\r?\n(?:[^\\]|\\.)*?\"\"\"|(?!\"\"\")\"(?:[^\"\\\r\n]|\\.)*\"|'(?:[^'\\\r\n]|\\(?:[btnfrs0-7'\"\\]|u+[0-9a-fA-F]{{4}})[0-7]*)')|(?P<num>{_NUM})|(?P<word>{_WORD})|(?P<op>\.\.\.|<<=|->|::|==|!=|<=|>=|&&|\|\||\+\+|--|\+=|-=|\*=|/=|%=|&=|\|=|\^=|<<|[-+*/%=<>!~&|^?:;,.@(){{}}\[\]])", re.S),
     "cpp": re.compile(rf"(?P<skip>[ \t\f\v\r\n﻿]+|\\\r?\n|//(?:[^\n\\]|\\.)*|/\*.*?\*/)|(?P<str>(?:u8|[uUL])?R\"(?P<d>[^()\\\s]{{0,16}})\(.*?\)(?P=d)\"|(?:u8|[uUL])?\"(?:[^\"\\\r\n]|\\(?:\r\n|.))*\"|(?:u8|[uUL])?'(?:[^'\\\r\n]|\\.)+')|(?P<num>{_NUM})|(?P<word>{_WORD})|(?P<op><=>|<<=|>>=|->\*|\.\.\.|->|::|==|!=|<=|>=|&&|\|\||\+\+|--|\+=|-=|\*=|/=|%=|&=|\|=|\^=|<<|##|[-+*/%=<>!~&|^?:;,.(){{}}\[\]])", re.S),
-    "python": re.compile(rf"(?P<skip>[ \t\f]+|\\\r?\n|#[^\n]*)|(?P<nl>\r?\n|\r)|(?P<str>(?i:[rbu]|br|rb|f|fr|rf|t|tr|rt)?(?:\"\"\"(?:[^\\]|\\.)*?\"\"\"|'''(?:[^\\]|\\.)*?'''|\"(?:[^\"\\\r\n]|\\(?:\r\n|.))*\"|'(?:[^'\\\r\n]|\\(?:\r\n|.))*'))|(?P<num>{_NUM})|(?P<word>{_WORD})|(?P<op>\*\*=|//=|>>=|<<=|\.\.\.|:=|->|==|!=|<=|>=|\+=|-=|\*=|/=|%=|&=|\|=|\^=|@=|\*\*|//|<<|>>|[-+*/%=<>~&|^:;,.@(){{}}\[\]])", re.S),
+    "python": re.compile(rf"(?P<skip>[ \t\f]+|\\\r?\n|#[^\n]*)|(?P<nl>\r?\n|\r)|(?P<str>(?i:[rbu]|br|rb|f|fr|rf|t|tr|rt)?(?:\"\"\"(?:[^\\]|\\.)*?\"\"\"|'''(?:[^\\]|\\.)*?'''|(?!\"\"\"|''')(?:\"(?:[^\"\\\r\n]|\\(?:\r\n|.))*\"|'(?:[^'\\\r\n]|\\(?:\r\n|.))*')))|(?P<num>{_NUM})|(?P<word>{_WORD})|(?P<op>\*\*=|//=|>>=|<<=|\.\.\.|:=|->|==|!=|<=|>=|\+=|-=|\*=|/=|%=|&=|\|=|\^=|@=|\*\*|//|<<|>>|[-+*/%=<>~&|^:;,.@(){{}}\[\]])", re.S),
     "json": re.compile(r"(?P<skip>[ \t\r\n]+)|(?P<str>\"(?:[^\"\\\x00-\x1f]|\\(?:[\"\\/bfnrt]|u[0-9a-fA-F]{4}))*\")|(?P<num>-?(?:0|[1-9][0-9]*)(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?(?![\w.]))|(?P<word>(?:true|false|null)\b)|(?P<op>[{}\[\]:,])"),
 }
 _MASTER["typescript"] = _MASTER["javascript"]
@@ -104,6 +104,7 @@ def _indents(text: str, at: int, stack: list[int], out: list[tuple[str, int]]) -
 def lex(text: str, lang: str) -> list[tuple[str, int]]:
     """The tokens of a text; a text that is no sequence of tokens has an ERR where that shows, and ends there."""
     text = text.removeprefix("﻿")
+    marked = lang in ("python", "javascript")
     script, python, cpp = lang in ("javascript", "typescript"), lang == "python", lang == "cpp"
     master, classes, words = _MASTER[lang], _CLASS[lang], frozenset(KEYWORDS.get(lang, ()))
     out: list[tuple[str, int]] = []
@@ -182,7 +183,10 @@ def lex(text: str, lang: str) -> list[tuple[str, int]]:
         elif kind in CLOSE and len(kind) == 1:
             if stack:
                 stack.pop()
-            out.append((kind, -1))
+            if kind == "]" and marked and out[-1] == ("[", 1):
+                out[-1] = ("E", 0)  # an empty list, which is no subscript
+            else:
+                out.append((kind, -1))
         else:
             out.append((kind, 0))
         prev = kind
