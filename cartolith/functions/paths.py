@@ -11,7 +11,7 @@ SCRIPT = ".py .js .mjs .cjs .ts .tsx .mts .cts".split()
 WEB = ".html .htm .css".split()
 OTHER_RELEVANT = ".qml .json .java .ui .qrc .rc .pro .pri .qbs .qmldir .cmake .s .asm .def".split()
 DEPENDENCY_DIRS = "third_party thirdparty 3rdparty external vendor vendors deps dependency dependencies".split()
-BUILD_DIRS = "cmake-build-debug cmake-build-release cmake-build-relwithdebinfo cmake-build-minsizerel cmakefiles _deps autogen .cmake testing ctesttestfile x64 x86 debug release relwithdebinfo minsizerel __pycache__ .mypy_cache node_modules .m2 .mvn target .gradle dist out .next .nuxt build .qt .git .idea .vscode .qtc_clangd .savt .cache cache".split()
+BUILD_DIRS = "cmake-build-debug cmake-build-release cmake-build-relwithdebinfo cmake-build-minsizerel cmakefiles _deps autogen .cmake testing ctesttestfile x64 x86 debug release relwithdebinfo minsizerel __pycache__ .mypy_cache node_modules .m2 .mvn target .gradle dist out .next .nuxt build .qt .git .idea .vscode .qtc_clangd .cache cache".split()
 BRIDGE_DIRS = "src source sources include includes inc impl implementation lib libs code".split()
 GROUPED_ROOTS = "apps src tests samples docs include".split()
 MANIFESTS = "cmakelists.txt package.json pom.xml build.gradle build.gradle.kts settings.gradle settings.gradle.kts gradlew".split()

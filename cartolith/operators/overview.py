@@ -33,6 +33,10 @@ WORD_ROLES = [
 ]
 COUNTED = ("class", "struct", "enum", "field", "function", "method")
 BUCKETS = {"presentation": "experience", "interaction": "experience", "analysis": "analysis", "visualization": "visualization", "web": "web", "storage": "storage", "data": "data", "tooling": "tooling", "dependency": "dependency", "core_model": "foundation", "type_centric": "foundation", "procedure_centric": "workflow"}
+# Folders of examples, tests and generated code.
+EXAMPLE_DIRS = "example examples sample samples demo demos playground sandbox prototype prototypes bench benchmarks".split()
+TEST_DIRS = "test tests testdata fixture fixtures mock mocks stub stubs __tests__".split()
+GENERATED_DIRS = "generated generatedfiles autogen autogenerated .generated gen".split()
 SUPPORT_ROLES = ("dependency", "storage", "data", "tooling", "core_model", "type_centric")
 
 
@@ -156,8 +160,8 @@ def noise_class(path: Column) -> Column:
     """'generated', 'example', 'test' or null for a path."""
     s = F.filter(F.split(F.lower(F.regexp_replace(path, r"\\", "/")), "/"), lambda x: x != "")
     first = F.try_element_at(s, F.lit(1))
-    generated = F.exists(s, lambda x: x.isin("generated", "generatedfiles", "autogen", "autogenerated", ".generated", "gen"))
-    return F.when(generated, "generated").when(first.isin(*"example examples sample samples demo demos playground sandbox prototype prototypes bench benchmarks".split()), "example").when(first.isin(*"test tests testdata fixture fixtures mock mocks stub stubs __tests__".split()), "test")
+    generated = F.exists(s, lambda x: x.isin(*GENERATED_DIRS))
+    return F.when(generated, "generated").when(first.isin(*EXAMPLE_DIRS), "example").when(first.isin(*TEST_DIRS), "test")
 
 
 def findings(nodes: DataFrame) -> DataFrame:
