@@ -4,28 +4,28 @@ Four kinds of evidence, all over whole tables:
 
 * the path: folders and names that tools, package managers and build systems use;
 * statements in full-line comments that a tool made the file, or that it came from elsewhere;
-* an inverted index of rare line hashes: every line of a third-party file points to one such file that holds it, the
-  rarest lines of any other file propose sources, and its exact containment in each proposed source decides;
+* an inverted index of line hashes: the rarest lines of a file lead to every file of any project that may hold the
+  rest, and exact containment over all lines decides;
 * the composition of the tokens: line lengths, white space, numbers and encoded text.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cartolith.runtime import Staged, small_side
+from cartolith.runtime import Staged
 
-#: Share of a file's rare lines that a third-party file must hold, and the least number of lines that count.
+#: Share of a file's lines that its source must hold, and the least number of lines that count.
 CONTAINED, LEAST_LINES = 0.8, 6
 #: Equal content in so many projects (with LEAST_COPIED lines) comes from outside.
 COPY_PROJECTS, LEAST_COPIED = 3, 10
-#: Sources proposed for a file, by its rarest lines.
-PROPOSED = 4
+#: Of the shared lines so many must be uncommon: in at most this share of the groups of copies that are not third-party (or so many).
+LEAST_RARE, RARE_SHARE, RARE_FILES = 3, 0.001, 3
+#: Unmarked holders of a line that are compared.
+FIRST_HOLDERS = 8
 #: Shorter lines say nothing about origin.
 LINE_CHARS = 12
-#: A line is rare if at most this share of the files that are not third-party by themselves hold it (or so many files).
-RARE_SHARE, RARE_FILES = 0.001, 3
 
 # Names that tools, package managers and build systems give to folders and files.
 THIRD_PARTY_DIRS = r"(?:^|/)(?:node_modules|bower_components|jspm_packages|vendor|vendored|third[_-]?party|3rd[_-]?party|external|externals|extern|deps|site-packages|dist-packages|pods|carthage|libs/contrib|godeps)/"
@@ -85,27 +85,56 @@ def line_hashes(content: Column) -> Column:
     return F.array_distinct(F.transform(F.filter(squeezed, lambda x: F.length(x) >= LINE_CHARS), lambda x: F.xxhash64(x)))
 
 
+def contained_pairs(pairs: DataFrame, lined: DataFrame) -> DataFrame:
+    """The (class_id, source) of pairs where the source holds CONTAINED of all lines of the class, with the columns of
+    both and the shared lines."""
+    mine = lined.select("class_id", "n", "lo", "hi", F.col("hashes").alias("own"))
+    theirs = lined.select(F.col("class_id").alias("source"), F.col("n").alias("m"), F.col("foreign").alias("marked"), "projects", F.col("lo").alias("lo2"), F.col("hi").alias("hi2"), F.col("hashes").alias("held"))
+    both = pairs.join(mine, "class_id").join(theirs, "source").withColumn("shared", F.array_intersect("own", "held"))
+    return both.where(F.size("shared") >= CONTAINED * F.col("n") - 1e-9).drop("own", "held")
+
+
+def settled_classes(contained: DataFrame, telling: DataFrame) -> DataFrame:
+    """class_id of those contained in a marked file.
+    telling: class_id, rare (its lines that say something about origin)."""
+    sure = contained.join(telling, "class_id").where(F.size(F.array_intersect("shared", "rare")) >= LEAST_RARE)
+    return sure.where("marked").select("class_id").distinct()
+
+
 def copied_classes(states: DataFrame) -> DataFrame:
     """class_id of contents (equal but for white space) that equal or are contained in third-party files or stand in
-    many projects. states: project_id, class_id, foreign (third-party by path or statement), hashes (of its lines)."""
-    lined = states.groupBy("class_id").agg(F.max("foreign").alias("foreign"), F.count_distinct("project_id").alias("projects"), F.min("hashes").alias("hashes")).withColumn("n", F.size("hashes"))
+    many projects. states: project_id, class_id, foreign (third-party by path or statement), hashes (of its lines).
+
+    A file of n lines whose source holds CONTAINED of them has one of its n - CONTAINED n + 1 rarest lines in the source,
+    whatever the others; so these lines propose sources, and all lines of the pair are compared. Lines that stand
+    in many files that are no copies of each other (boilerplate) do not make a copy by themselves: LEAST_RARE others must
+    be shared. Copies of one file count once there, however many they are."""
+    of_class = states.groupBy("class_id").agg(F.max("foreign").alias("foreign"), F.count_distinct("project_id").alias("projects"), F.min("project_id").alias("lo"), F.max("project_id").alias("hi"), F.min("hashes").alias("hashes"))
+    lined = Staged(of_class.withColumn("n", F.size("hashes")), "lined").df
     many = lined.where(~F.col("foreign") & (F.col("projects") >= COPY_PROJECTS) & (F.col("n") >= LEAST_COPIED)).select("class_id")
-    lines = lined.select("class_id", "foreign", F.explode("hashes").alias("line"))
-    index = lines.groupBy("line").agg(F.count_if(~F.col("foreign")).alias("df"), F.min(F.when(F.col("foreign"), F.col("class_id"))).alias("source"))
-    limit = F.greatest(F.lit(RARE_FILES), lined.where(~F.col("foreign")).agg(F.count(F.lit(1)) * RARE_SHARE).scalar())
-    common = Staged(index.where(F.col("df") > limit).select("line"), "common")  # at most lines per file / RARE_SHARE of them
-    rare = lines.join(small_side(common), "line", "left_anti")
-    mine = rare.where(~F.col("foreign")).select("class_id", "line")
-    sized = mine.groupBy("class_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= LEAST_LINES)
-    sources = index.where("source IS NOT NULL").select("line", "source", "df")
-    owned = mine.join(sources, "line").groupBy("class_id", "source").agg(F.min("df").alias("df"), F.count(F.lit(1)).alias("own"))
-    best = owned.groupBy("class_id").agg(F.slice(F.array_sort(F.collect_list(F.struct("df", -F.col("own"), "source"))), 1, PROPOSED).alias("best"))
-    proposed = best.select("class_id", F.explode(F.transform("best", lambda b: b["source"])).alias("source"))
-    held = rare.where("foreign").select(F.col("class_id").alias("source"), "line")
-    shared = mine.join(proposed, "class_id").join(held, ["source", "line"]).groupBy("class_id", "source").agg(F.count(F.lit(1)).alias("shared"))
-    contained = shared.join(sized, "class_id").where(F.col("shared") >= CONTAINED * F.col("n")).select("class_id")
     same = lined.where(F.col("foreign") & (F.col("n") >= LEAST_LINES)).select("class_id")
-    return contained.unionByName(many).unionByName(same).distinct()
+    lines = lined.select("class_id", "foreign", "projects", "lo", "n", F.explode("hashes").alias("line"))
+    counted = lines.join(lines.groupBy("line").agg(F.count(F.lit(1)).alias("df")), "line")
+    placed = counted.withColumn("place", F.row_number().over(Window.partitionBy("class_id").orderBy("df", "line"))).where(F.col("df") > 1)
+    rows = Staged(placed, "lines").df
+    needed = F.col("n") - F.ceil(CONTAINED * F.col("n") - 1e-9) + 1
+    leading = rows.where(~F.col("foreign") & (F.col("n") >= LEAST_LINES) & (F.col("place") <= needed)).select("class_id", "line", "n", "df")
+    holders = rows.where(F.col("foreign") | (F.col("projects") > 0))
+    # few holders of each line propose sources
+    bucket = F.when(~F.col("foreign"), F.pmod(F.xxhash64("lo"), F.lit(FIRST_HOLDERS)))
+    few = holders.groupBy("line", bucket.alias("bucket")).agg(F.min_by("class_id", F.struct(-F.col("n"), F.col("class_id"))).alias("source"))
+    first = leading.join(few, "line").where(F.col("class_id") != F.col("source")).select("class_id", "source").distinct()
+    near = Staged(contained_pairs(first, lined), "near").df
+    # files whose first container is the same are one group of copies
+    heads = near.groupBy("class_id").agg(F.min(F.struct((-F.col("m")).alias("size"), F.col("source").alias("id"))).alias("head"), (-F.first("n")).alias("size"))
+    heads = heads.where(F.col("head") < F.struct("size", F.col("class_id").alias("id"))).select("class_id", F.col("head.id").alias("head"))
+    grouped = rows.where(~F.col("foreign")).select("class_id", "line").join(heads, "class_id", "left").groupBy("line").agg(F.count_distinct(F.coalesce("head", "class_id")).alias("groups"))
+    limit = F.greatest(F.lit(RARE_FILES), lined.where(~F.col("foreign")).agg(F.count(F.lit(1)) * RARE_SHARE).scalar())
+    uncommon = grouped.where(F.col("groups") <= limit).select("line")
+    mine = rows.where(~F.col("foreign") & (F.col("n") >= LEAST_LINES)).join(uncommon, "line")
+    telling = Staged(mine.groupBy("class_id").agg(F.collect_list("line").alias("rare")).where(F.size("rare") >= LEAST_RARE), "telling").df
+    early = Staged(settled_classes(near, telling), "early").df
+    return early.unionByName(many).unionByName(same).distinct()
 
 
 def machine_files(files: DataFrame) -> DataFrame:

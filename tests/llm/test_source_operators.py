@@ -102,6 +102,20 @@ def test_machine_files(spark):
     }
 
 
+def _edited(text, seed):
+    lines = text.split("\n")
+    lines[seed % (len(lines) - 1)] = f"int own_change_{seed}_here = {seed};"
+    return "\n".join(lines)
+
+
+def test_edited_copies_are_found_however_many(spark):
+    lib = _code(20, 24)
+    rows = [("a", "vendor/lib/x.cpp", T1, lib)] + [(f"p{n}", f"src/copied{n}.cpp", T1, _edited(lib, n)) for n in range(12)]
+    rows += [(f"p{n}", "src/own.cpp", T1, _code(100 + n) + "".join(f"common_line_of_many_files({k});\n" for k in range(40))) for n in range(12)]
+    got = {r.path for r in sourcefiles.machine_files(_files(spark, rows)).collect()}
+    assert got == {"vendor/lib/x.cpp"} | {f"src/copied{n}.cpp" for n in range(12)}
+
+
 def test_machine_files_of_nothing(spark):
     assert sourcefiles.machine_files(_files(spark, [])).count() == 0
 
