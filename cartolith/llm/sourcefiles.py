@@ -22,8 +22,8 @@ CONTAINED, LEAST_LINES = 0.8, 6
 COPY_PROJECTS, LEAST_COPIED = 3, 10
 #: Of the shared lines so many must be uncommon: in at most this share of the groups of copies that are not third-party (or so many).
 LEAST_RARE, RARE_SHARE, RARE_FILES = 3, 0.001, 3
-#: Unmarked holders of a line that are compared.
-FIRST_HOLDERS = 8
+#: Unmarked holders of a line that are compared first, and holders of a line that one task takes.
+FIRST_HOLDERS, HOLDERS_A_PART = 8, 1000
 #: Shorter lines say nothing about origin.
 LINE_CHARS = 12
 
@@ -95,18 +95,21 @@ def contained_pairs(pairs: DataFrame, lined: DataFrame) -> DataFrame:
 
 
 def settled_classes(contained: DataFrame, telling: DataFrame) -> DataFrame:
-    """class_id of those contained in a marked file.
+    """class_id of those contained in a marked file, or whose content and its containers stand in COPY_PROJECTS projects.
     telling: class_id, rare (its lines that say something about origin)."""
     sure = contained.join(telling, "class_id").where(F.size(F.array_intersect("shared", "rare")) >= LEAST_RARE)
-    return sure.where("marked").select("class_id").distinct()
+    wide = sure.where(F.col("marked") | ((F.col("n") >= LEAST_COPIED) & (F.col("projects") >= COPY_PROJECTS))).select("class_id")
+    stood = sure.where(~F.col("marked") & (F.col("n") >= LEAST_COPIED)).select("class_id", F.explode(F.array("lo", "hi", "lo2", "hi2")).alias("p"))
+    return wide.unionByName(stood.groupBy("class_id").agg(F.count_distinct("p").alias("k")).where(F.col("k") >= COPY_PROJECTS).select("class_id")).distinct()
 
 
 def copied_classes(states: DataFrame) -> DataFrame:
-    """class_id of contents (equal but for white space) that equal or are contained in third-party files or stand in
-    many projects. states: project_id, class_id, foreign (third-party by path or statement), hashes (of its lines).
+    """class_id of contents (equal but for white space) that equal or are contained in third-party files or stand, each
+    perhaps with its own edits, in many projects. states: project_id, class_id, foreign (third-party by path or
+    statement), hashes (of its lines).
 
     A file of n lines whose source holds CONTAINED of them has one of its n - CONTAINED n + 1 rarest lines in the source,
-    whatever the others; so these lines propose sources, and all lines of the pair are compared. Lines that stand
+    whatever the others; so these lines lead to every source, and all lines of the pair are compared. Lines that stand
     in many files that are no copies of each other (boilerplate) do not make a copy by themselves: LEAST_RARE others must
     be shared. Copies of one file count once there, however many they are."""
     of_class = states.groupBy("class_id").agg(F.max("foreign").alias("foreign"), F.count_distinct("project_id").alias("projects"), F.min("project_id").alias("lo"), F.max("project_id").alias("hi"), F.min("hashes").alias("hashes"))
@@ -120,7 +123,7 @@ def copied_classes(states: DataFrame) -> DataFrame:
     needed = F.col("n") - F.ceil(CONTAINED * F.col("n") - 1e-9) + 1
     leading = rows.where(~F.col("foreign") & (F.col("n") >= LEAST_LINES) & (F.col("place") <= needed)).select("class_id", "line", "n", "df")
     holders = rows.where(F.col("foreign") | (F.col("projects") > 0))
-    # few holders of each line propose sources
+    # few holders of each line settle most copies; the rest are compared with all holders
     bucket = F.when(~F.col("foreign"), F.pmod(F.xxhash64("lo"), F.lit(FIRST_HOLDERS)))
     few = holders.groupBy("line", bucket.alias("bucket")).agg(F.min_by("class_id", F.struct(-F.col("n"), F.col("class_id"))).alias("source"))
     first = leading.join(few, "line").where(F.col("class_id") != F.col("source")).select("class_id", "source").distinct()
@@ -134,7 +137,12 @@ def copied_classes(states: DataFrame) -> DataFrame:
     mine = rows.where(~F.col("foreign") & (F.col("n") >= LEAST_LINES)).join(uncommon, "line")
     telling = Staged(mine.groupBy("class_id").agg(F.collect_list("line").alias("rare")).where(F.size("rare") >= LEAST_RARE), "telling").df
     early = Staged(settled_classes(near, telling), "early").df
-    return early.unionByName(many).unionByName(same).distinct()
+    parts = F.ceil(F.col("df") / HOLDERS_A_PART)  # lines held by many are spread
+    spread = holders.select("line", F.col("class_id").alias("source"), F.col("n").alias("m"), F.pmod(F.xxhash64("class_id"), parts).alias("part"))
+    rest = leading.join(telling, "class_id", "left_semi").join(early, "class_id", "left_anti").withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), parts - 1)))
+    every = rest.join(spread, ["line", "part"]).where((F.col("class_id") != F.col("source")) & (F.col("m") >= CONTAINED * F.col("n") - 1e-9)).select("class_id", "source").distinct()
+    late = settled_classes(contained_pairs(every, lined), telling)
+    return early.unionByName(late).unionByName(many).unionByName(same).distinct()
 
 
 def machine_files(files: DataFrame) -> DataFrame:

@@ -116,6 +116,22 @@ def test_edited_copies_are_found_however_many(spark):
     assert got == {"vendor/lib/x.cpp"} | {f"src/copied{n}.cpp" for n in range(12)}
 
 
+def test_the_one_source_among_many_versions_is_found(spark):
+    lib = _code(21, 20).split("\n")[:-1]
+    rnd = random.Random(5)
+    rows = [("a", f"vendor/v{n}/x.cpp", T1, "\n".join(rnd.sample(lib, 9)) + "\n" + _code(200 + n)) for n in range(40)]
+    rows += [("a", "vendor/true/x.cpp", T1, "\n".join(lib)), ("b", "src/copied.cpp", T1, _edited("\n".join(lib), 3)), ("b", "src/half.cpp", T1, "\n".join(lib[:10]) + "\n" + _code(300, 10))]
+    got = {r.path for r in sourcefiles.machine_files(_files(spark, rows)).collect()}
+    assert "src/copied.cpp" in got and "src/half.cpp" not in got
+
+
+def test_edited_copies_without_a_marked_original_are_found(spark):
+    lib, two = _code(22, 20), _code(23, 20)
+    rows = [(p, f"src/{p}.cpp", T1, _edited(lib, n)) for n, p in enumerate("abcdefg")] + [(p, f"src/two_{p}.cpp", T1, _edited(two, n)) for n, p in enumerate("ab")]
+    rows += [("a", f"src/again{n}.cpp", T1, _edited(two, n + 5)) for n in range(3)]
+    assert {r.path for r in sourcefiles.machine_files(_files(spark, rows)).collect()} == {f"src/{p}.cpp" for p in "abcdefg"}
+
+
 def test_machine_files_of_nothing(spark):
     assert sourcefiles.machine_files(_files(spark, [])).count() == 0
 
