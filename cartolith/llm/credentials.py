@@ -2,9 +2,10 @@
 
 The search runs per text, in Arrow batches, on whole texts. It knows five kinds of evidence: private-key containers,
 self-describing tokens, credentials in a grammar (URL user info, connection strings, command lines, authorization
-schemes), values bound to a telling name, and literals split over several pieces. Every literal that is base64, hex,
-percent or escape encoding of text (or of a key container) is decoded and searched again, and if the decoded layer
-holds a credential, the enclosing literal is the credential's span in the text.
+schemes), values bound to a telling name, and literals split over several pieces. Every stretch that is base64, hex,
+percent or escape encoding of text (or of a key container), quoted or not, in one line or several, is decoded and
+searched again, and if the decoded layer holds a credential, the enclosing literal of one line, else the stretch, is
+the credential's span in the text.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ import binascii
 import re
 from bisect import bisect_right
 from collections.abc import Iterator
+from functools import lru_cache
 from urllib.parse import unquote
 
 import pandas as pd
@@ -63,6 +65,12 @@ _PLACEHOLDER = re.compile(
 )
 _REFERENCE = re.compile(r"(?i)^\$|^%\w+%$|^@\w+@?$|^#\{|^(?:env|vault|file|secret|secrets|ssm|arn|kms|ref|cmake|keyring|op|aws|gcp|azure)[:/]|^[a-z][a-z0-9+.-]*://|^(?:os\.|process\.|system\.|getenv|config\.|settings\.|self\.|this\.)|^enc\[")
 _HASHISH = re.compile(r"^(?:sha(?:1|256|384|512)[-:]|data:|md5[-:])|^[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}$")
+#: Text that may be encoded, quoted or not: over several lines, or in one.
+_WRAPPED = re.compile(r"(?<![\w+/-])[A-Za-z0-9+/_-]{16,}+(?:[ \t]*\\?\r?\n[ \t]*[A-Za-z0-9+/_-]{4,}+)+={0,2}(?=[ \t]*(?:\r?\n|[\"'`),;<\]}]|\Z))")
+_RUN = re.compile(r"(?<![A-Za-z0-9+/])[A-Za-z0-9+/]{16,}+={0,2}")
+_URL_RUN = re.compile(r"(?<![\w-])[\w-]{16,}+={0,2}", re.A)
+_PLAIN = re.compile(r"[^\s\"'`<>]{8,}+")
+_ESCAPED = re.compile(r"%[0-9a-fA-F]{2}|\\(?:x[0-9a-fA-F]{2}|u[0-9a-fA-F]{4}|[0-7]{3}|[\"'\\])")
 _WORDS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
 
 
@@ -173,8 +181,11 @@ def _decoded(value: str) -> Iterator[str | bytes]:
         yield unquote(value)
     if re.search(r"\\(?:x[0-9a-fA-F]{2}|u[0-9a-fA-F]{4}|[0-7]{3})", value):
         yield re.sub(r"\\(?:x([0-9a-fA-F]{2})|u([0-9a-fA-F]{4})|([0-7]{3}))", lambda m: chr(int(m[1] or m[2], 16) if m[1] or m[2] else int(m[3], 8)), value)
+    if re.search(r"\\[\"'\\]", value):
+        yield re.sub(r"\\([\"'\\nrt])", lambda m: {"n": "\n", "r": "\r", "t": "\t"}.get(m[1], m[1]), value)
 
 
+@lru_cache(4096)
 def _hidden(value: str, named: bool, layer: int) -> bool:
     """Whether a decoded layer of the value holds a credential."""
     if layer >= MAX_LAYERS:
@@ -249,7 +260,7 @@ def find(text: str, layer: int = 0) -> list[tuple[list[tuple[int, int]], str]]:
             add(pieces, "named")
         elif len(pieces) > 1 and kind != "hash" and (random_like(bare) or any(not no_secret(m[0]) for m in _TOKENS.finditer(bare))):
             add(pieces, "split")
-        elif kind != "hash" and len(bare) >= 12 and not re.search(r"\s", bare) and _hidden(bare, kind == "secret", layer):
+        elif len(bare) >= 12 and (_ESCAPED.search(bare) or not re.search(r"\s", bare)) and _hidden(bare, kind == "secret", layer):
             add(pieces, "encoded")
     spans = sorted(literals)
     starts = [a for a, _ in spans]
@@ -264,6 +275,20 @@ def find(text: str, layer: int = 0) -> list[tuple[list[tuple[int, int]], str]]:
         if strong(value, quoted=False) and outside(m.start(1)):
             at = m.start(1) + m[1].find(value)
             add([(at, at + len(value))], "comment")
+    for pattern in (_WRAPPED, _RUN, _URL_RUN, _PLAIN):
+        for m in pattern.finditer(text):
+            run = m[0]
+            if pattern is _PLAIN and not _ESCAPED.search(run):
+                continue
+            if pattern is _WRAPPED:
+                lines = re.split(r"[ \t]*\\?\r?\n[ \t]*", run)
+                hidden = _hidden("".join(lines), False, layer) or _hidden("".join(lines[:-1]), False, layer)  # a word may follow
+            else:
+                hidden = _hidden(run, False, layer)
+            if hidden:
+                k = bisect_right(starts, m.start()) - 1
+                inside = k >= 0 and spans[k][1] > m.start() and "\n" not in text[spans[k][0] : spans[k][1]]
+                add([(spans[k][0] + 1, spans[k][1] - 1) if inside else m.span()], "encoded")
     return sorted(hits, key=lambda h: h[0][0])
 
 
