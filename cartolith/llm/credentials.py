@@ -327,7 +327,7 @@ def _rows(key_field: bool):
                     lines.append([text.count("\n", 0, p[0][0]) + 1 if not key_field else 1 for p, _ in hits])
                     kinds.append([k for _, k in hits])
                     masked.append(redact(text, hits))
-            yield pd.DataFrame({"record_id": pd.Series(ids, dtype="int64"), "line_nos": lines, "kinds": kinds, "redacted": masked})
+            yield pd.DataFrame({"record_id": pd.Series(ids, dtype="int64"), "line_nos": pd.Series(lines, dtype="object"), "kinds": pd.Series(kinds, dtype="object"), "redacted": pd.Series(masked, dtype="object")})
 
     return run
 

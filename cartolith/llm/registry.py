@@ -32,7 +32,9 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p4_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return credentials.scan(table(spark, sf_dir, "ai_requests"), "request_id", "code_excerpt").select("record_id", F.array_join("kinds", ",").alias("kinds"), "redacted")
+    requests = credentials.scan(table(spark, sf_dir, "ai_requests"), "request_id", "code_excerpt").withColumn("source_table", F.lit("ai_requests"))
+    config = credentials.scan(table(spark, sf_dir, "ai_config"), "config_id", "api_key", key_field=True).withColumn("source_table", F.lit("ai_config"))
+    return requests.unionByName(config).select("source_table", "record_id", F.array_join("kinds", ",").alias("kinds"), "redacted")
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,6 +6,7 @@ import pytest
 from cartolith.llm import credentials as C
 from cartolith.llm import encoding as E
 from cartolith.llm import leakage as L
+from cartolith.llm.registry import QUERIES
 
 SECRET = "aG7kQ2pLx9ZwT4vBn8Rd"
 
@@ -175,3 +176,10 @@ def test_encoded_credentials_are_found_quoted_or_not():
         ('x = "{\\"password\\": \\"your-password\\"}"\n', 'x = "{\\"password\\": \\"your-password\\"}"\n'), ("about 100%25 of configuration_of_the_service\n", "about 100%25 of configuration_of_the_service\n"),
     ]:
         assert C.redact(text, C.find(text)) == masked
+
+
+def test_both_tables_are_redacted(spark, tmp_path):
+    spark.createDataFrame([(1, f'api_key = "{SECRET}"'), (2, "x = 1")], "request_id long, code_excerpt string").write.parquet(f"{tmp_path}/ai_requests.parquet")
+    spark.createDataFrame([(1, f"Bearer {SECRET}"), (2, "<your key>"), (3, None)], "config_id long, api_key string").write.parquet(f"{tmp_path}/ai_config.parquet")
+    got = {(r.source_table, r.record_id, r.redacted) for r in QUERIES["p4_redacted"](spark, str(tmp_path)).collect()}
+    assert got == {("ai_requests", 1, 'api_key = "[REDACTED]"'), ("ai_config", 1, "Bearer [REDACTED]")}
