@@ -27,6 +27,9 @@ from cartolith.runtime import balanced
 
 #: Characters from a wrong decoding that make a text a case.
 LEAST_GARBLED = 3
+#: What a character costs that no text of its script has there, and the changed characters that two quoted words make up
+#: in a script without blanks.
+GARBLED_COST, QUOTED_CHARS = 5.0, 16
 #: States of one stretch of text that are expanded.
 EXPANSIONS = 12
 #: What a step must save to be taken, beside its own cost.
@@ -158,6 +161,17 @@ def char_costs(text: str) -> np.ndarray:
     return cost
 
 
+_SUSPECT = np.zeros(26, bool)
+_SUSPECT[[ACC_LOW, ACC_UP, ODD, MARK, BOX]] = True
+
+
+def implausible(text: str) -> int:
+    """Characters of the kinds that a wrong decoding leaves, where no text has them, such as a capital with an accent
+    after a small letter at the end of a word."""
+    cps = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    return int((_SUSPECT[_classes()[np.minimum(cps, 0xFFFF)]] & (char_costs(text) >= GARBLED_COST)).sum())
+
+
 _ESCAPES = re.compile(r"&#(?:1[2-9]\d|2[0-4]\d|25[0-5]|\d{4,5}|x[0-9a-fA-F]{2,4});|&[A-Za-z]{2,8};|\\x[89a-fA-F][0-9a-fA-F]|\\u00[89a-fA-F][0-9a-fA-F]|=[89A-F][0-9A-F](?==)|%[89a-fA-F][0-9a-fA-F]")
 
 
@@ -343,6 +357,8 @@ def _quoted_example(original: str, changed: str) -> bool:
     """A sentence about odd characters that shows them in one or two words and is otherwise sound."""
     odd = [a for a, b in zip(original.split(), changed.split()) if a != b] if len(original.split()) == len(changed.split()) else None
     words = len(odd) if odd is not None else sum((Counter(original.split()) - Counter(changed.split())).values())
+    if any(c >= "\u2e80" for w in odd or [original] for c in w):  # words are not told apart
+        return sum((Counter(original) - Counter(changed)).values()) <= QUOTED_CHARS and bool(_META.search(original))
     return words <= 2 and bool(_META.search(original))
 
 
@@ -367,6 +383,7 @@ def repair(text: str) -> tuple[int, str, str]:
         else:
             t, n = part, 0
         n += sum(1 for c in t if c == "�" or "\x80" <= c <= "\x9f")
+        n += implausible(t)  # also what could not be restored
         if n and _quoted_example(part0, t):
             return 0, part0
         if decoded:

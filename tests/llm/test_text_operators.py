@@ -183,3 +183,14 @@ def test_both_tables_are_redacted(spark, tmp_path):
     spark.createDataFrame([(1, f"Bearer {SECRET}"), (2, "<your key>"), (3, None)], "config_id long, api_key string").write.parquet(f"{tmp_path}/ai_config.parquet")
     got = {(r.source_table, r.record_id, r.redacted) for r in QUERIES["p4_redacted"](spark, str(tmp_path)).collect()}
     assert got == {("ai_requests", 1, 'api_key = "[REDACTED]"'), ("ai_config", 1, "Bearer [REDACTED]")}
+
+
+def test_garbled_characters_count_without_a_restoration():
+    assert E.repair("Et voilÃ . Et voilÃ . Et voilÃ .")[0] >= E.LEAST_GARBLED
+    assert E.repair("Voilà un été à l'École, où Éric a mangé du pâté à 20 °C.")[0] == 0
+
+
+def test_quoted_examples_without_blanks_are_measured_in_characters():
+    long = "我们昨天在城里的图书馆看了很多书也写了很多字".encode().decode("latin-1")
+    assert E.repair("例如，这个文件说" + long + "。")[0] >= E.LEAST_GARBLED
+    assert E.repair("例如，这个文件里的字写成了" + "é".encode().decode("latin-1") + "。")[0] == 0
