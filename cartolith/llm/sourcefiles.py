@@ -40,7 +40,7 @@ GENERATED = (
     r"(?:code|file|source) (?:is |was )?generated (?:by|from|with)\b|generated (?:by|from|with) [^\n]*do not (?:edit|modify)|(?:hand|manual) edits (?:are|will be) (?:overwritten|lost)|changes (?:\w+ )*will be (?:lost|overwritten)|"
     r"do not edit (?:this file )?(?:by hand|manually)[^\n]*generated)|自动生成|自動生成|wurde von [^\n]* (?:erzeugt|generiert)|automatisch (?:erzeugt|generiert)|généré automatiquement|generado automáticamente|gerado automaticamente|сгенерирован)"
 )
-#: In the first lines of a file: a foreign name with a version beside a licence, an origin or other authors.
+#: A foreign name with a version beside a licence, an origin or other authors.
 _VERSION = r"\bv?\d+\.\d+(?:\.\d+)?\b"
 FOREIGN = (
     _COMMENT + r"(?:[^\n]*(?:local|vendored|verbatim|modified) copy of \S+[^\n]*" + _VERSION + r"|[^\n]*\b(?:imported|copied|taken|vendored|adapted|derived) (?:unchanged |verbatim )?from [^\n]*(?:release|version|upstream|" + _VERSION + r")|"
@@ -48,7 +48,6 @@ FOREIGN = (
 )
 #: Java marks what annotation processors write.
 GENERATED_ANNOTATION = r"(?m)^[ \t]*@(?:javax?\.|jakarta\.)?(?:annotation\.)?(?:processing\.)?Generated\b"
-HEAD_LINES = 15
 
 
 def newest_states(files: DataFrame) -> DataFrame:
@@ -64,8 +63,7 @@ def path_evidence(path: Column) -> Column:
 
 
 def statement_evidence(content: Column) -> Column:
-    head = F.substring_index(content, "\n", HEAD_LINES)
-    return F.when(head.rlike(FOREIGN), "third-party").when(content.rlike(GENERATED) | content.rlike(GENERATED_ANNOTATION), "output")
+    return F.when(content.rlike(FOREIGN), "third-party").when(content.rlike(GENERATED) | content.rlike(GENERATED_ANNOTATION), "output")
 
 
 def composition_evidence(path: Column, content: Column) -> Column:

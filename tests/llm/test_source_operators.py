@@ -132,6 +132,11 @@ def test_edited_copies_without_a_marked_original_are_found(spark):
     assert {r.path for r in sourcefiles.machine_files(_files(spark, rows)).collect()} == {f"src/{p}.cpp" for p in "abcdefg"}
 
 
+def test_a_statement_of_origin_counts_wherever_it_stands(spark):
+    rows = [("a", "src/low.cpp", T1, "// part of the banner\n" * 30 + "// tiny v1.2.3 | (c) the tiny authors | MIT licensed\n" + _code(30)), ("a", "src/own.cpp", T1, "// part of the banner\n" * 30 + _code(31))]
+    assert {r.path for r in sourcefiles.machine_files(_files(spark, rows)).collect()} == {"src/low.cpp"}
+
+
 def test_machine_files_of_nothing(spark):
     assert sourcefiles.machine_files(_files(spark, [])).count() == 0
 
