@@ -119,13 +119,15 @@ def _parses(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     warnings.simplefilter("ignore")
     for pdf in batches:
         keep = []
-        for lang, text in zip(pdf["language"], pdf["content"]):
+        for lang, text, bad in zip(pdf["language"], pdf["content"], pdf["bad"]):
             text = text.removeprefix("﻿")
             try:
                 ast.parse(text) if lang == "python" else json.loads(text, parse_constant=constant)
                 keep.append(False)
-            except (SyntaxError, ValueError, RecursionError, MemoryError):
+            except (SyntaxError, ValueError):
                 keep.append(True)
+            except (RecursionError, MemoryError):  # too deep for the parser: the productions decide
+                keep.append(bool(bad))
         yield pdf.loc[keep, ["project_id", "path"]]
 
 
@@ -136,9 +138,10 @@ def invalid_files(files: DataFrame) -> DataFrame:
     times the state with the greatest scan time and content counts. Rows with a null path are ignored, a null project
     is a project of its own, repeated rows count once. Other extensions give no row."""
     states = Staged(newest(files), "states").df
-    bad = _keyed(states).join(faulty(tokens(states)), _FILE, "left_semi")
+    judged = _keyed(states).join(faulty(tokens(states)).withColumn("bad", F.lit(True)), _FILE, "left").withColumn("bad", F.coalesce("bad", F.lit(False)))
     exact = F.col("language").isin("python", "json")
-    return bad.where(~exact).select("project_id", "path").unionByName(bad.where(exact).select("project_id", "path", "language", "content").mapInPandas(_parses, "project_id string, path string"))
+    parsed = judged.where(exact & F.col("content").isNotNull()).select("project_id", "path", "language", "content", "bad")
+    return judged.where(~exact & F.col("bad")).select("project_id", "path").unionByName(parsed.mapInPandas(_parses, "project_id string, path string"))
 
 
 def file_status(files: DataFrame, parse_results: DataFrame) -> DataFrame:

@@ -69,6 +69,12 @@ def test_invalid_files_of_a_table(spark):
     assert {tuple(r) for r in syntax.invalid_files(_files(spark, rows)).collect()} == want
 
 
+def test_invalid_python_that_the_productions_allow(spark):
+    texts = ["try:\n    pass\nexcept ValueError, e:\n    pass\n", "x = 10L\n", "x = 0777\n", "f() = 1\n", "1 = x\n", "def f(a=1, b):\n    pass\n", "f(a=1, 2)\n"]
+    rows = [("p", f"bad{n}.py", T1, t) for n, t in enumerate(texts)] + [("p", "good.py", T1, GOOD["python"])]
+    assert {r.path for r in syntax.invalid_files(_files(spark, rows)).collect()} == {f"bad{n}.py" for n in range(len(texts))}
+
+
 def test_invalid_files_of_nothing_and_rates(spark):
     assert syntax.invalid_files(_files(spark, [])).count() == 0
     f = _files(spark, [("p", "a.json", T1, "{"), ("p", "b.json", T1, "{}"), ("p", "c.json", T1, None)])
