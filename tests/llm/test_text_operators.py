@@ -1,5 +1,6 @@
 import base64
 import random
+import time
 
 import pytest
 
@@ -117,10 +118,43 @@ def test_chinese_items_count_characters(spark):
     assert _leaks(spark, docs, [(1, item)]) == {(1, 1), (2, 1), (4, 1)}
 
 
-def test_more_items_than_one_pass_holds(spark, monkeypatch):
-    monkeypatch.setattr(L, "ITEMS_PER_PASS", 2)
-    items = [(k, " ".join(f"w{k}x{j}" for j in range(30))) for k in range(5)]
-    assert _leaks(spark, [(k, t) for k, t in items], items) == {(k, k) for k in range(5)}
+def test_opening_lines_are_compared_over_all_items(spark):
+    line = " ".join(f"instr{k}" for k in range(30))
+    many = [(k, f"line {k % 7}\n" + " ".join(f"w{k}x{j}" for j in range(30))) for k in range(60)] + [(k, line + "\n" + " ".join(f"v{k}x{j}" for j in range(30))) for k in (100, 101)]
+    docs = [(k, t.split("\n")[1]) for k, t in many] + [(500, line)]
+    assert _leaks(spark, docs, many) == {(k, k) for k, _ in many}
+
+
+def _brute_holds(doc, item, chars):
+    least = L.CHARS if chars else L.WORDS
+    lengths = [n for n in range(least, len(item) + 1) if n == least or n % L.ERROR_UNITS == 0]
+    return any(_brute_edit(item[s : s + n], doc) <= n // L.ERROR_UNITS for n in lengths for s in range(len(item) - n + 1))
+
+
+def test_passages_match_brute_force(spark):
+    rnd, docs, items, want = random.Random(11), [], [], set()
+    for i in range(6):
+        items.append((i, [f"w{rnd.randrange(40)}" for _ in range(rnd.choice([24, 27, 38]))]))
+    for d in range(60):
+        i, item = rnd.choice(items)
+        a = rnd.randrange(0, 8)
+        u = list(item[a : a + rnd.choice([20, 24, 27, 36])])
+        for _ in range(rnd.randrange(0, 6)):
+            k = rnd.randrange(len(u))
+            u[k : k + 1] = rnd.choice([["wrong"], [], [u[k], "more"]])
+        docs.append((d, ["before"] * rnd.randrange(4) + u + ["after"] * 3))
+    want = {(d, i) for d, u in docs for i, item in items if _brute_holds(u, item, False)}
+    assert 10 < len(want) < 60
+    assert _leaks(spark, [(d, " ".join(u)) for d, u in docs], [(i, " ".join(u)) for i, u in items]) == want
+
+
+def test_verification_is_linear_in_repeated_text():
+    item = [f"w{k}" for k in range(48)]
+    spoilt = [w if k % 7 else "x" for k, w in enumerate(item)] * 2000  # pieces everywhere, no passage
+    g = {int(h): at for at, h in enumerate(L.grams(item, False, 5)) if at % 5 == 0}
+    hits = [(at, g[int(h)]) for at, h in enumerate(L.grams(spoilt, False, 5)) if int(h) in g]
+    began = time.time()
+    assert len(hits) > 3000 and not L.holds(spoilt, item, hits, False) and time.time() - began < 30
 
 
 GOOD = {
