@@ -150,11 +150,11 @@ def test_passages_match_brute_force(spark):
 
 def test_verification_is_linear_in_repeated_text():
     item = [f"w{k}" for k in range(48)]
-    spoilt = [w if k % 7 else "x" for k, w in enumerate(item)] * 2000  # pieces everywhere, no passage
+    spoilt = [w if k % 6 else "x" for k, w in enumerate(item)] * 2000  # pieces everywhere, no passage
     g = {int(h): at for at, h in enumerate(L.grams(item, False, 5)) if at % 5 == 0}
     hits = [(at, g[int(h)]) for at, h in enumerate(L.grams(spoilt, False, 5)) if int(h) in g]
     began = time.time()
-    assert len(hits) > 3000 and not L.holds(spoilt, item, hits, False) and time.time() - began < 30
+    assert len(hits) > 1500 and not L.holds(spoilt, item, hits, False) and time.time() - began < 30
 
 
 GOOD = {
