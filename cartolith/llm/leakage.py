@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cartolith.runtime import Staged, balanced, small_side
+from cartolith.runtime import BROADCAST_ROWS, Staged, balanced, small_side
 
 WORDS, CHARS = 24, 30
 ERROR_UNITS = 9
@@ -35,6 +35,8 @@ PIECE = {False: 5, True: 6}
 SHORT = 3
 #: Bits of the bitmap of piece hashes (8 MB), and copies of a piece that spread the documents holding it.
 BITMAP_BITS, SALTS = 1 << 26, 16
+#: Words of items up to which their texts are broadcast (about 10 MB).
+BROADCAST_UNITS = 1_000_000
 #: Words whose hashes a task keeps.
 KEPT_WORDS = 1 << 18
 
@@ -184,7 +186,7 @@ def passages(items: DataFrame) -> DataFrame:
 def _pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         rows = []
-        for passage, chars, u in zip(pdf["passage"], pdf["chars"], pdf["units"]):
+        for passage, chars, u in zip(pdf["passage"], pdf["chars"], pdf["item"]):
             q = PIECE[chars]
             g = grams(list(u), chars, q)
             rows += [(passage, chars, int(g[at]), at) for at in range(0, len(u) - q + 1, q)]
@@ -238,23 +240,31 @@ def _verified(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pdf.loc[np.array(keep, bool), ["doc_id", "item_id"]]
 
 
+def _spread_join(left: DataFrame, right: DataFrame, keys: list[str], by: str, small: bool) -> DataFrame:
+    """Joins rows of documents with a table of items: by broadcast if that is small, else with SALTS copies of it, so
+    that the documents of a frequent key go to as many tasks."""
+    if small:
+        return left.join(F.broadcast(right), keys)
+    copies = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint")))
+    return left.withColumn("salt", F.pmod(F.xxhash64(by), F.lit(SALTS))).join(right.withColumn("salt", copies), [*keys, "salt"]).drop("salt")
+
+
 def leaks(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Distinct (doc_id, item_id): the document holds WORDS successive words (CHARS characters) of the item.
 
     Null and empty texts and ids give no row, items shorter than a passage cannot leak, repeated rows count once, equal
     documents under several ids give a row each. Other columns are ignored. Documents are read once, whatever the number
     of items; what is kept of them are those that hold a gram of the bitmap."""
-    held = Staged(passages(items), "passages").df
-    pieces = Staged(held.mapInPandas(_pieces, "passage bigint, chars boolean, h bigint, off int"), "pieces").df
+    held = Staged(passages(items).withColumnRenamed("units", "item"), "passages")
+    pieces = Staged(held.df.mapInPandas(_pieces, "passage bigint, chars boolean, h bigint, off int"), "pieces")
+    item_units = held.df.agg(F.coalesce(F.sum(F.size("item")), F.lit(0))).first()[0]
     docs = balanced(documents.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text")).where("doc_id IS NOT NULL AND length(text) > 0"), "doc_id")
-    suspects = Staged(docs.mapInPandas(_scan(_bitmaps(pieces)), _SUSPECTS), "suspects").df.dropDuplicates(["doc_id", "copy", "chars"])
-    salt, copies = F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)), F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint")))
-    rows = suspects.select("doc_id", "copy", "chars", F.inline("hits")).withColumn("salt", salt)
-    shared = rows.join(pieces.withColumn("salt", copies), ["chars", "h", "salt"])
-    pairs = shared.groupBy("doc_id", "copy", "chars", "passage").agg(F.collect_list(F.struct("at", "off")).alias("places"))
-    texts = suspects.select("doc_id", "copy", "chars", "units")
-    item = held.select("item_id", "passage", F.col("units").alias("item")).withColumn("salt", copies)
-    both = pairs.join(texts, ["doc_id", "copy", "chars"]).withColumn("salt", salt).join(item, ["passage", "salt"]).select("doc_id", "item_id", "chars", "units", "item", "places")
-    # a number of partitions that adaptive execution keeps, for the rows are small and the work on them is not
-    spread = both.repartition(2 * documents.sparkSession.sparkContext.defaultParallelism, "doc_id", "item_id")
-    return spread.mapInPandas(_verified, "doc_id bigint, item_id bigint").distinct()
+    suspects = Staged(docs.mapInPandas(_scan(_bitmaps(pieces.df)), _SUSPECTS), "suspects").df
+    one, tasks = ["doc_id", "copy", "chars"], 2 * documents.sparkSession.sparkContext.defaultParallelism
+    rows = suspects.select(*one, F.inline("hits"))
+    shared = _spread_join(rows, pieces.df, ["chars", "h"], "doc_id", pieces.count() <= BROADCAST_ROWS)
+    # numbers of partitions that adaptive execution keeps, for the rows are small and the work on them is not
+    pairs = shared.repartition(tasks, *one).groupBy(*one, "passage").agg(F.collect_set(F.struct("at", "off")).alias("places"))
+    texts = suspects.select(*one, "units").repartition(tasks, *one).dropDuplicates(one)
+    both = _spread_join(pairs.join(texts.hint("shuffle_merge"), one), held.df.drop("chars"), ["passage"], "doc_id", item_units <= BROADCAST_UNITS)
+    return both.select("doc_id", "item_id", "chars", "units", "item", "places").mapInPandas(_verified, "doc_id bigint, item_id bigint").distinct()
