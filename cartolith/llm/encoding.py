@@ -30,12 +30,12 @@ LEAST_GARBLED = 3
 #: What a character costs that no text of its script has there, and the changed characters that two quoted words make up
 #: in a script without blanks.
 GARBLED_COST, QUOTED_CHARS = 5.0, 16
-#: States of one stretch of text that are expanded.
-EXPANSIONS = 12
+#: Characters whose costs are computed at once.
+COST_CHARS = 1 << 18
 #: What a step must save to be taken, beside its own cost.
 STEP_COST, MARGIN = 1.0, 2.0
 #: A step between two code pages without the evidence of UTF-8 counts as so many more, and needs a text this implausible.
-LEGACY_STEPS, LEGACY_LEAST = 3, 8.0
+LEGACY_STEPS, LEGACY_LEAST = 3, 6.0
 
 # Code pages a text may have been read with, and those it may have been written in.
 READ_AS = "latin-1 cp1252 cp1250 iso8859-2 iso8859-15 cp1254 mac_roman cp437 cp850 cp852 cp1251 cp866 koi8-r".split()
@@ -125,18 +125,22 @@ def _extra() -> tuple[np.ndarray, np.ndarray]:
     return letters, japanese
 
 
-def char_costs(text: str) -> np.ndarray:
-    """The plausibility cost of each character, given its neighbours."""
+def char_costs(text: str, starts: np.ndarray | None = None) -> np.ndarray:
+    """The plausibility cost of each character, given its neighbours. starts: where the texts begin that text consists
+    of, each with a line end behind it."""
     cps = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-    cls = np.where(cps < 0x10000, _classes()[np.minimum(cps, 0xFFFF)], np.uint8(MATH)).astype(np.uint8)
-    cost = _BASE[cls].copy()
+    small = np.minimum(cps, 0xFFFF)
+    cls = np.where(cps < 0x10000, _classes()[small], np.uint8(MATH))
+    cost = _BASE[cls]
     if not len(cls):
         return cost
     letters, japanese = _extra()
-    small = np.minimum(cps, 0xFFFF)
-    cost += letters[small]
-    if (cls == KANA).any():
+    cost = cost + letters[small]
+    kana = cls == KANA
+    if kana.any():
         han = (cls == HAN) | (cls == HAN2) | (cls == HAN3)
+        if starts is not None:
+            han &= np.repeat(np.logical_or.reduceat(kana, starts), np.diff(np.append(starts, len(cls))))
         cost = np.where(han, japanese[small], cost).astype(np.float32)
     prev, nxt = np.concatenate(([SPACE], cls[:-1])).astype(np.uint8), np.concatenate((cls[1:], [SPACE])).astype(np.uint8)
     letter_near, sign_near = _LETTER[prev] | _LETTER[nxt], _SIGN[prev] | _SIGN[nxt]
@@ -175,8 +179,32 @@ def implausible(text: str) -> int:
 _ESCAPES = re.compile(r"&#(?:1[2-9]\d|2[0-4]\d|25[0-5]|\d{4,5}|x[0-9a-fA-F]{2,4});|&[A-Za-z]{2,8};|\\x[89a-fA-F][0-9a-fA-F]|\\u00[89a-fA-F][0-9a-fA-F]|=[89A-F][0-9A-F](?==)|%[89a-fA-F][0-9a-fA-F]")
 
 
+#: A character this costly is out of place.
+ODD_COST = 2.4
+
+
+def costs(texts: list[str]) -> list[tuple[float, bool, int]]:
+    """(cost, whether a character is out of place, number of characters that cost anything) of each text."""
+    out: list[tuple[float, bool, int]] = []
+    at = 0
+    while at < len(texts):
+        end, size = at, 0
+        while end < len(texts) and (end == at or size + len(texts[end]) < COST_CHARS):
+            size += len(texts[end]) + 1
+            end += 1
+        part = texts[at:end]
+        ends = np.cumsum([len(t) + 1 for t in part])
+        starts = np.concatenate(([0], ends[:-1]))
+        c = char_costs("\n".join(part) + "\n", starts)
+        sums, odd, some = np.add.reduceat(c, starts, dtype=np.float64), np.maximum.reduceat(c, starts) >= ODD_COST, np.add.reduceat((c > 0).astype(np.int64), starts)
+        escapes = [2.5 * len(_ESCAPES.findall(t)) if "&" in t or "\\" in t or "=" in t or "%" in t else 0.0 for t in part]
+        out += zip((sums + escapes).tolist(), odd.tolist(), some.tolist())
+        at = end
+    return out
+
+
 def cost(text: str) -> float:
-    return float(char_costs(text).sum()) + 2.5 * len(_ESCAPES.findall(text))
+    return costs([text])[0][0]
 
 
 @lru_cache(64)
@@ -210,19 +238,20 @@ def _as_utf8(text: str, codec: str) -> str:
     return "".join([*out, text[at:]]) if at else text
 
 
-def _user_area(bad: UnicodeEncodeError) -> tuple[bytes, int]:
-    """Private-use characters that the national standard gives two-byte codes."""
-    part = bad.object[bad.start]
-    if "\ue000" <= part <= "\ue864" and len(code := part.encode("gb18030")) == 2:
-        return code, bad.start + 1
-    raise bad
+_KEPT: list[str] = []
 
 
-codecs.register_error("user_area", _user_area)
+def _mark(bad: UnicodeEncodeError) -> tuple[bytes, int]:
+    """Private-use characters that the national standard gives two-byte codes; of what else has no code the place is
+    marked and the text kept."""
+    part = bad.object[bad.start : bad.end]
+    if bad.encoding == "gbk" and "\ue000" <= part[0] <= "\ue864" and len(code := part[0].encode("gb18030")) == 2:
+        return code, bad.start + 1
+    _KEPT.append(part)
+    return b"\0", bad.end
 
 
-def _errors(codec: str) -> str:
-    return "user_area" if codec == "gbk" else "strict"
+codecs.register_error("mark_unknown", _mark)
 
 
 _BYTES = re.compile("[\x00-\xff]*[\x80-\xff][\x00-\xff]*")
@@ -236,21 +265,11 @@ def _recode(text: str, read: str, written: str) -> str:
             out += [text[at : m.start()], m[0].encode("latin-1").decode(written, "replace")]
             at = m.end()
         return "".join([*out, text[at:]])
-    out, at, n = [], 0, len(text)
-    while at < n:
-        try:
-            data, end = text[at:].encode(read, _errors(read)), n
-        except UnicodeEncodeError as bad:
-            end = at + bad.start
-            data = text[at:end].encode(read, _errors(read))
-        if data and not data.isascii():
-            out.append(data.decode(written, "replace"))
-        else:
-            out.append(text[at:end])
-        if end < n:
-            out.append(text[end])
-        at = end + 1
-    return "".join(out)
+    if "\0" in text:
+        return "\0".join(_recode(t, read, written) for t in text.split("\0"))
+    _KEPT.clear()
+    known, kept = text.encode(read, "mark_unknown").split(b"\0"), [*_KEPT, ""]
+    return "".join(x for k, data in enumerate(known) for x in (data.decode("ascii" if data.isascii() else written, "replace"), kept[k]))
 
 
 def _unescape(text: str) -> str:
@@ -259,34 +278,32 @@ def _unescape(text: str) -> str:
     return t
 
 
-def _neighbours(text: str) -> Iterator[tuple[str, str]]:
-    if _ESCAPES.search(text):
-        yield "unescape", _unescape(text)
-    if text.isascii():
-        return
-    for codec in READ_AS:
-        t = _as_utf8(text, codec)
-        if t != text:
-            yield f"{codec}>utf-8", t
-    for codec in READ_AS_WIDE:
-        yield f"{codec}>utf-8", _recode(text, codec, "utf-8")
-    for read, all_written in WRITTEN_IN.items():
-        for written in all_written:
-            yield f"{read}>{written}", _recode(text, read, written)
+def _near(text: str) -> list[tuple[tuple[str, ...], str]]:
+    """(steps, text) of what the text becomes when it is unescaped, or when UTF-8 that was read with a one-byte code page
+    is read as such: once, or up to three times, as texts are garbled by a fault that repeats."""
+    out = [(("unescape",), _unescape(text))] if _ESCAPES.search(text) else []
+    for codec in READ_AS if not text.isascii() else ():
+        t, step = text, f"{codec}>utf-8"
+        for times in (1, 2, 3):
+            again = _as_utf8(t, codec)
+            if again == t:
+                break
+            t = again
+            out.append(((step,) * times, t))
+    return out
 
 
-def _chains(text: str) -> Iterator[tuple[tuple[str, ...], str]]:
-    """The neighbours as paths; a step from UTF-8 also up to three times in a row, as texts are garbled by a fault
-    that repeats."""
-    for step, t in _neighbours(text):
-        yield (step,), t
-        if step.endswith(">utf-8") and step.split(">")[0] in READ_AS:
-            for times in (2, 3):
-                again = apply(t, step)
-                if again == t:
-                    break
-                t = again
-                yield (step,) * times, t
+_WIDE = re.compile("[\u2e80-\uffff]")
+
+
+def _far(text: str) -> list[tuple[tuple[str, ...], str]]:
+    """Like _near, for the other pairs of code pages."""
+    wide = bool(_WIDE.search(text))
+    out = [((f"{codec}>utf-8",), _recode(text, codec, "utf-8")) for codec in READ_AS_WIDE] if wide else []
+    for read, all_written in WRITTEN_IN.items():
+        if wide or read not in READ_AS_WIDE:
+            out += [((f"{read}>{written}",), _recode(text, read, written)) for written in all_written]
+    return out
 
 
 def _shrunk(before: str, after: str) -> float:
@@ -295,43 +312,54 @@ def _shrunk(before: str, after: str) -> float:
     return (high - sum(c > "\x7f" for c in after)) / max(1, high)
 
 
+def _legacy(steps: tuple[str, ...]) -> bool:
+    return any(s != "unescape" and not s.endswith(">utf-8") for s in steps)
+
+
+@lru_cache(4096)
 def restore(text: str, hint: tuple[str, ...] = ()) -> tuple[str, tuple[str, ...]]:
     """The cheapest text that can be reached and the path to it; the text itself and () if nothing is cheaper.
-    hint: a path that is tried first and taken if nothing implausible is left after it."""
-    start = cost(text)
+    hint: a path that is tried first and taken if nothing implausible is left after it.
+
+    Until a cheaper text is known, all states below 1.2 times the cost of the text (and 4) are expanded; then those that
+    cost no more than the cheapest one and MARGIN. Every step costs something, so either end is reached."""
+    start = max(c for c, _, _ in costs([text, _unescape(text)] if _ESCAPES.search(text) else [text]))
     if hint:
         t = text
         for step in hint:
             t = apply(t, step)
-        if t != text and cost(t) + MARGIN <= start and not (char_costs(t) >= 2.4).any():
-            return t, hint
+        if t != text:
+            c, odd, _ = costs([t])[0]
+            if not odd and c + MARGIN <= start:
+                return t, hint
     best, path = (start, text), ()
-    queue, visited = [(start, 0, text, ())], {hash(text)}
-    for _ in range(EXPANSIONS):
-        if not queue:
-            break
+    queue, visited = [(start, 0, text, ())], {text}
+    while queue:
         here, steps, t, so_far = heapq.heappop(queue)
+        if path and here > best[0] + MARGIN:
+            break
         here -= STEP_COST * steps
-        strong = False  # UTF-8 that was read as something else is well-formed by no accident
-        for taken, t2 in _chains(t):
-            step = taken[-1]
-            legacy = step != "unescape" and not step.endswith(">utf-8")
-            if legacy and strong:
+        strong = clean = False  # UTF-8 that was read as something else is well-formed by no accident
+        for neighbours in (_near, _far):
+            if neighbours is _far and (strong or (here < LEGACY_LEAST and not _WIDE.search(t))):
                 break
-            h = hash(t2)
-            if h in visited:
-                continue
-            visited.add(h)
-            there = cost(t2)
-            strong = strong or (not legacy and there <= 0.65 * here and _shrunk(t, t2) >= 0.4)
-            if legacy and (there > 0.6 * here or here < LEGACY_LEAST):
-                continue
-            c = there + STEP_COST * (steps + len(taken) + LEGACY_STEPS * legacy)
-            if c < best[0] - (MARGIN if not path else 0):
-                best, path = (c, t2), (*so_far, *taken)
-            if c < start * 1.2 + 4:
-                heapq.heappush(queue, (c, steps + len(taken) + LEGACY_STEPS * legacy, t2, (*so_far, *taken)))
-        if path and not any(s != "unescape" and not s.endswith(">utf-8") for s in path) and not (char_costs(best[1]) >= 2.4).any() and not _ESCAPES.search(best[1]):
+            fresh = {t2: taken for taken, t2 in reversed(neighbours(t)) if t2 not in visited}
+            visited.update(fresh)
+            texts = list(fresh)[::-1]
+            for t2, (there, odd, _) in zip(texts, costs(texts)):
+                taken = fresh[t2]
+                legacy = _legacy(taken)
+                strong = strong or (neighbours is _near and taken[-1] != "unescape" and ((there <= 0.65 * here and _shrunk(t, t2) >= 0.4) or (not odd and there + MARGIN <= here)))
+                if legacy and (there > 0.6 * here or here < LEGACY_LEAST):
+                    continue
+                far = steps + len(taken) + LEGACY_STEPS * legacy
+                c = there + STEP_COST * far
+                if c < best[0] - (MARGIN if not path else 0):
+                    best, path = (c, t2), (*so_far, *taken)
+                    clean = not odd
+                if c < start * 1.2 + 4:
+                    heapq.heappush(queue, (c, far, t2, (*so_far, *taken)))
+        if clean and not _legacy(path) and not _ESCAPES.search(best[1]):
             break
     return best[1], path
 
@@ -354,60 +382,73 @@ _LOST_FORMS = re.compile("ï¿½|锟斤拷")
 
 
 def _quoted_example(original: str, changed: str) -> bool:
-    """A sentence about odd characters that shows them in one or two words and is otherwise sound."""
-    odd = [a for a, b in zip(original.split(), changed.split()) if a != b] if len(original.split()) == len(changed.split()) else None
-    words = len(odd) if odd is not None else sum((Counter(original.split()) - Counter(changed.split())).values())
+    """A sentence about odd characters that shows them in one word and is otherwise sound."""
+    ours, theirs = original.split(" "), changed.split(" ")
+    odd = [a for a, b in zip(ours, theirs) if a != b] if len(ours) == len(theirs) else None
+    words = len(odd) if odd is not None else sum((Counter(ours) - Counter(theirs)).values())
     if any(c >= "\u2e80" for w in odd or [original] for c in w):  # words are not told apart
         return sum((Counter(original) - Counter(changed)).values()) <= QUOTED_CHARS and bool(_META.search(original))
-    return words <= 2 and bool(_META.search(original))
+    return words <= 1 and bool(_META.search(original))
 
 
-def repair(text: str) -> tuple[int, str, str]:
-    """(garbled characters, restored text, path of the first stretch). Examples that a sentence quotes do not count."""
-    if not _QUICK.search(text):
-        return 0, text, ""
-    garbled, out, first, hint = 0, [], "", ()
-
-    def one(part: str) -> tuple[int, str]:
-        nonlocal first, hint
-        part0 = part
-        part = _LOST_FORMS.sub("�", part)
-        costs = char_costs(part)
-        if not (costs >= 2.4).any() and not _ESCAPES.search(part) and costs.sum() < 0.85 * max(1, int((costs > 0).sum())) + 3:
-            return 0, part0
-        t, path = restore(part, hint)
-        decoded = any(s != "unescape" for s in path)
-        if decoded:
-            before, after = Counter(c for c in _unescape(part) if c > "\x7f"), Counter(c for c in t if c > "\x7f")
-            n = sum((before - after).values())
-        else:
-            t, n = part, 0
-        n += sum(1 for c in t if c == "�" or "\x80" <= c <= "\x9f")
-        n += implausible(t)  # also what could not be restored
-        if n and _quoted_example(part0, t):
-            return 0, part0
-        if decoded:
-            hint = path
-            first = first or " ".join(path)
-        return (n, t if decoded else part0)
-
+def _parts(text: str) -> list[str]:
+    """The sentences of the lines of a text; joined they are the text."""
+    out = []
     for line in text.split("\n"):
-        if not _QUICK.search(line):
-            out.append(line)
+        out += [*(p for p in _SENTENCES.findall(line) if p), "\n"] if _QUICK.search(line) else [line, "\n"]
+    return out[:-1]
+
+
+def _repaired(part: str, hint: tuple[str, ...]) -> tuple[int, str, tuple[str, ...]]:
+    """(garbled characters, restored sentence, path)"""
+    marked = _LOST_FORMS.sub("\ufffd", part)
+    t, path = restore(marked, hint)
+    decoded = any(s != "unescape" for s in path)
+    n = 0
+    if decoded:
+        before, after = Counter(c for c in _unescape(marked) if c > "\x7f"), Counter(c for c in t if c > "\x7f")
+        n = sum((before - after).values())
+    else:
+        t = marked
+    n += sum(1 for c in t if c == "\ufffd" or "\x80" <= c <= "\x9f")
+    n += implausible(t)  # also what could not be restored
+    if not n or _quoted_example(part, t):
+        return 0, part, ()
+    return n, t if decoded else part, path if decoded else ()
+
+
+def repair_all(texts: list[str]) -> list[tuple[int, str, str]]:
+    """repair() of each text; the costs of all their sentences are computed together."""
+    split = [_parts(t) if _QUICK.search(t) else None for t in texts]
+    asked = [p for parts in split if parts for p in parts if _QUICK.search(p)]
+    odd = set()
+    for p, (c, out_of_place, some) in zip(asked, costs([_LOST_FORMS.sub("\ufffd", p) for p in asked])):
+        if out_of_place or c >= 0.85 * max(1, some) + 3 or _ESCAPES.search(p):
+            odd.add(p)
+    out = []
+    for text, parts in zip(texts, split):
+        if not parts or odd.isdisjoint(parts):
+            out.append((0, text, ""))
             continue
-        parts = [p for p in _SENTENCES.findall(line) if p]
-        fixed = []
+        garbled, first, hint, fixed = 0, "", (), []
         for p in parts:
-            n, t = one(p) if _QUICK.search(p) else (0, p)
-            garbled += n
-            fixed.append(t)
-        out.append("".join(fixed))
-    return garbled, "\n".join(out), first
+            if p in odd:
+                n, p, path = _repaired(p, hint)
+                garbled += n
+                hint, first = path or hint, first or " ".join(path)
+            fixed.append(p)
+        out.append((garbled, "".join(fixed), first))
+    return out
+
+
+def repair(text: str) -> tuple[int, str, str]:
+    """(garbled characters, restored text, path of the first stretch). Examples that a sentence quotes do not count."""
+    return repair_all([text])[0]
 
 
 def _scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
-        rows = [(d, *repair(t)) for d, t in zip(pdf["doc_id"], pdf["text"])]
+        rows = [(d, *r) for d, r in zip(pdf["doc_id"], repair_all(list(pdf["text"])))]
         rows = [r for r in rows if r[1] >= LEAST_GARBLED]
         yield pd.DataFrame(rows, columns=["doc_id", "garbled", "restored", "path"]).astype({"doc_id": "int64", "garbled": "int64"})
 

@@ -228,3 +228,38 @@ def test_quoted_examples_without_blanks_are_measured_in_characters():
     long = "我们昨天在城里的图书馆看了很多书也写了很多字".encode().decode("latin-1")
     assert E.repair("例如，这个文件说" + long + "。")[0] >= E.LEAST_GARBLED
     assert E.repair("例如，这个文件里的字写成了" + "é".encode().decode("latin-1") + "。")[0] == 0
+
+
+def test_escaped_garbled_text_is_unescaped_first():
+    bad = "".join(c if c < "\x7f" else f"&#{ord(c)};" for c in GOOD["fr"].encode().decode("cp1252"))
+    assert E.repair(bad)[0] >= E.LEAST_GARBLED and E.repair(bad)[1] == GOOD["fr"]
+
+
+def test_words_about_encodings_hide_no_garbled_words():
+    n, text, _ = E.repair("The encoding guide for the cafÃ© menu, naÃ¯ve cases.")
+    assert n >= E.LEAST_GARBLED and text == "The encoding guide for the café menu, naïve cases."
+    assert E.repair("Reading UTF-8 the wrong way turns déjà into dÃ©jÃ\xa0; a short reminder.")[0] == 0
+
+
+def test_texts_are_repaired_alike_together_and_alone():
+    texts = [t.encode().decode("cp1251", "replace") for t in GOOD.values()] + list(GOOD.values()) + ["", "plain", GOOD["ja"] + "\n" + GOOD["zh"].encode("gbk").decode("latin-1")]
+    assert E.repair_all(texts) == [E.repair(t) for t in texts]
+
+
+def test_characters_without_a_code_are_kept_in_place():
+    assert E._recode("é中\0ñ文", "latin-1", "utf-8") == "�中\0�文"
+    assert E._recode("a" + "ÿ" * 5 + "中", "gbk", "utf-8") == "a" + "ÿ" * 5 + "中".encode("gbk").decode("utf-8", "replace")
+
+
+def test_share_of_restored_texts():
+    pairs = [("latin-1", "utf-8"), ("cp1252", "utf-8"), ("cp1250", "utf-8"), ("cp1251", "utf-8"), ("mac_roman", "utf-8"), ("cp437", "utf-8"), ("latin-1", "gbk"), ("latin-1", "cp932"), ("latin-1", "cp1251")]
+    done = []
+    for text in GOOD.values():
+        for read, written in pairs:
+            try:
+                bad = text.encode(written).decode(read)
+            except UnicodeError:
+                continue
+            if bad != text:
+                done.append(E.repair(bad)[1] == text)
+    assert len(done) > 25 and sum(done) / len(done) >= 0.9
