@@ -1,22 +1,22 @@
 """Files that do not parse as the language of their extension.
 
-The newest state of every file is lexed into one row per token. Running sums over the tokens of a file give nesting
-levels and number the bracket groups of each level; neighbours in a group are anti-joined against the pairs that the
-language's grammar permits; and the symbols of each group, inner groups reduced to one symbol, are matched against the
-grammar's productions. A group that fails makes its file invalid. Python and JSON files that fail are parsed once
-more by the language's own parser, whose word is final.
+Every file is lexed into the symbols of its bracket groups, inner groups reduced to one symbol; the distinct groups of a
+file are a row of a table. Their neighbouring symbols are anti-joined with the pairs that the language's grammar permits,
+and every group is matched against the grammar's productions. A pair or group that fails makes its file invalid. Python
+and JSON files are parsed by the language's own parser too, whose word is final.
 """
 
 from __future__ import annotations
 
 import ast
+import hashlib
 import json
+import re
 import warnings
 from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cartolith.llm import grammar
@@ -24,7 +24,6 @@ from cartolith.llm.lexing import LANGUAGES, lex
 from cartolith.runtime import Staged, balanced
 
 _LANGS = sorted(set(LANGUAGES.values()))
-_FILE = ["f1", "f2"]
 
 
 def language(path) -> F.Column:
@@ -36,124 +35,123 @@ def language(path) -> F.Column:
     return out
 
 
-def newest(files: DataFrame) -> DataFrame:
-    """(project_id, path, language, content) of each file's state with the latest modification_time."""
-    last = F.max(F.struct("modification_time", "scanned_at", "content"))
-    states = files.where(F.col("path").isNotNull()).groupBy("project_id", "path").agg(last["content"].alias("content"))
-    return states.withColumn("language", language(F.col("path"))).where("language IS NOT NULL")
+_COMMA = grammar.symbol(",")
+_REPEATED = re.compile(f"((?:[^{_COMMA}]){{1,12}}{_COMMA})(?:\\1){{2,}}")
 
 
-def _keyed(df: DataFrame) -> DataFrame:
-    """128 bits of hash stand for (project_id, path) in the token rows."""
-    return df.withColumn("f1", F.xxhash64("project_id", "path")).withColumn("f2", F.xxhash64("path", F.lit(1), "project_id"))
+def groups(tokens: list[tuple[str, int]]) -> set[str]:
+    """The distinct bracket groups of a file's tokens, the top level between ^ and $. A group that is not closed is cut
+    short, and a bracket too many stands for itself. An element repeated three times or more in a list stands twice:
+    lists of two and of more elements have the same form."""
+    found: set[str] = set()
+    stack: list[list[str]] = [["^"]]
+    for kind, step in tokens:
+        stack[-1].append(grammar.symbol(grammar.GROUPS[kind] if step > 0 else kind))
+        if step > 0:
+            stack.append([grammar.symbol(kind)])
+        elif step < 0:
+            found.add(_REPEATED.sub(r"\1\1", "".join(stack.pop())))
+            if not stack:
+                return found
+    stack[-1].append("$")
+    return found | {_REPEATED.sub(r"\1\1", "".join(s)) for s in stack}
+
+
+def _constant(name: str):
+    raise ValueError(name)
+
+
+def parses(text: str, lang: str) -> bool | None:
+    """The verdict of the language's own parser; None if it has none or the text is too deep for it."""
+    if lang not in ("python", "json"):
+        return None
+    try:
+        text = text.removeprefix("\ufeff")
+        ast.parse(text) if lang == "python" else json.loads(text, parse_constant=_constant)
+        return True
+    except (SyntaxError, ValueError):
+        return False
+    except (RecursionError, MemoryError):
+        return None
+
+
+_LEXED = "project_id string, path string, modification_time timestamp, scanned_at timestamp, language string, digest binary, groups array<string>, parsed boolean"
 
 
 def _lex(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    warnings.simplefilter("ignore")
     for pdf in batches:
-        f1, f2, langs, ords, symbols, steps = [], [], [], [], [], []
-        for a, b, lang, text in zip(pdf["f1"], pdf["f2"], pdf["language"], pdf["content"]):
+        digests, all_groups, parsed = [], [], []
+        for lang, text in zip(pdf["language"], pdf["content"]):
+            if text is None:
+                digests.append(None)
+                all_groups.append(None)
+                parsed.append(None)
+                continue
+            digests.append(hashlib.sha256(text.encode("utf-8", "surrogatepass")).digest())
             tokens = lex(text, lang)
-            if not tokens and lang == "json":
-                tokens = [("ERR", 0)]
-            n = len(tokens)
-            f1.append(np.full(n, a))
-            f2.append(np.full(n, b))
-            langs.append(np.full(n, _LANGS.index(lang), np.int16))
-            ords.append(np.arange(n, dtype=np.int32))
-            symbols += [grammar.symbol(k) for k, _ in tokens]
-            steps += [s for _, s in tokens]
-            if len(symbols) > 50_000:
-                yield _frame(f1, f2, langs, ords, symbols, steps)
-                f1, f2, langs, ords, symbols, steps = [], [], [], [], [], []
-        if f1:
-            yield _frame(f1, f2, langs, ords, symbols, steps)
-
-
-def _frame(f1, f2, langs, ords, symbols, steps) -> pd.DataFrame:
-    return pd.DataFrame({"f1": np.concatenate(f1), "f2": np.concatenate(f2), "lang": np.concatenate(langs), "ord": np.concatenate(ords), "ch": symbols, "step": np.array(steps, np.int16)})
+            all_groups.append(sorted(groups(tokens)) if tokens or lang != "json" else ["^" + grammar.symbol("ERR") + "$"])
+            parsed.append(parses(text, lang))
+        out = pdf[["project_id", "path", "modification_time", "scanned_at", "language"]].copy()
+        out["digest"], out["groups"], out["parsed"] = digests, all_groups, pd.Series(parsed, dtype="object", index=pdf.index)
+        yield out
 
 
-def tokens(states: DataFrame) -> DataFrame:
-    """(f1, f2, lang, ord, ch, step): one row per token of the files of newest(); null content has none."""
-    body = _keyed(states.where(F.col("content").isNotNull())).select(*_FILE, "language", "content")
-    return balanced(body, *_FILE).mapInPandas(_lex, "f1 bigint, f2 bigint, lang smallint, ord int, ch string, step smallint")
+def lexed(files: DataFrame) -> DataFrame:
+    """One row per row of files with a language: its times, language, the groups of its tokens and what its own parser
+    says; null for null content."""
+    body = files.where(F.col("path").isNotNull()).select("project_id", "path", "modification_time", "scanned_at", language(F.col("path")).alias("language"), "content").where("language IS NOT NULL")
+    return balanced(body, "project_id", "path", "modification_time").mapInPandas(_lex, _LEXED)
 
 
-def _pairs(spark: SparkSession) -> DataFrame:
-    rows = [(n, p) for n, lang in enumerate(_LANGS) for p in sorted(grammar.pairs(lang))]
-    return spark.createDataFrame(rows, "lang smallint, pair string")
+def _permitted(spark: SparkSession) -> DataFrame:
+    """Some thousand rows, by the size of the grammars."""
+    return spark.createDataFrame([(lang, p) for lang in _LANGS for p in sorted(grammar.pairs(lang))], "language string, pair string")
 
 
-def _well_formed(lang: pd.Series, symbols: pd.Series) -> pd.Series:
-    return pd.Series([grammar.valid_group(_LANGS[n], s) for n, s in zip(lang, symbols)])
+def _well_formed(lang: pd.Series, all_groups: pd.Series) -> pd.Series:
+    return pd.Series([all(grammar.valid_group(n, g) for g in found) for n, found in zip(lang, all_groups)], dtype=bool)
 
 
 def faulty(rows: DataFrame) -> DataFrame:
-    """(f1, f2) of files with a token pair that no production allows, or a group that matches none."""
-    g = grammar
-    in_file = Window.partitionBy(*_FILE).orderBy("ord")
-    deep = rows.withColumn("depth", F.sum("step").over(in_file))
-    reduced = F.create_map(*[F.lit(x) for k, v in g.GROUPS.items() for x in (g.symbol(k), g.symbol(v))])
-    part = lambda lvl, ch, head: F.struct(lvl.cast("int").alias("lvl"), ch.alias("ch"), F.lit(head).alias("head"))
-    d, c = F.col("depth"), F.col("ch")
-    levels = deep.select(
-        *_FILE, "lang", "ord",
-        F.inline(F.when(F.col("step") == 1, F.array(part(d - 1, reduced[c], 0), part(d, c, 1))).when(F.col("step") == -1, F.array(part(d + 1, c, 0))).otherwise(F.array(part(d, c, 0)))),
-    )
-    in_level = Window.partitionBy(*_FILE, "lvl").orderBy("ord")
-    grouped = levels.withColumn("gid", F.sum("head").over(in_level)).withColumn("next", F.when(F.lead("head").over(in_level) == 0, F.lead("ch").over(in_level)))
-    grouped = grouped.withColumn("pair", F.concat("ch", "next"))
-    permitted = F.broadcast(_pairs(rows.sparkSession).withColumn("ok", F.lit(True)))
-    checked = grouped.join(permitted, ["lang", "pair"], "left")
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "ch"))), lambda t: t["ch"]), "")
-    groups = checked.groupBy(*_FILE, "lang", "lvl", "gid").agg(text.alias("s"), F.max(F.col("pair").isNotNull() & F.col("ok").isNull()).alias("bad"))
-    framed = F.when(F.col("lvl") == 0, F.concat(F.lit("^"), "s", F.lit("$"))).otherwise(F.col("s"))
+    """(row) of those with a pair of neighbours that no production allows, or a group that matches none.
+    rows: row, language, groups."""
+    pairs_of = lambda g: F.transform(F.sequence(F.lit(1), F.length(g) - 1), lambda i: F.substring(g, i, F.lit(2)))
+    neighbours = F.array_distinct(F.flatten(F.transform(F.filter("groups", lambda g: F.length(g) > 1), pairs_of)))
+    pairs = rows.select("row", "language", F.explode(neighbours).alias("pair")).where(~F.col("pair").rlike(r"^\^|\$$"))
     well_formed = F.pandas_udf(_well_formed, "boolean")
-    return groups.where(F.col("bad") | ~well_formed("lang", framed)).select(*_FILE).distinct()
+    strange = pairs.join(F.broadcast(_permitted(rows.sparkSession)), ["language", "pair"], "left_anti").select("row")
+    return strange.unionByName(rows.where(F.col("groups").isNotNull() & ~well_formed("language", "groups")).select("row")).distinct()
 
 
-def _parses(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    def constant(name: str):
-        raise ValueError(name)
+def judged_files(files: DataFrame) -> DataFrame:
+    """(project_id, path, language, valid): the newest state of each file; valid is null for null content.
 
-    warnings.simplefilter("ignore")
-    for pdf in batches:
-        keep = []
-        for lang, text, bad in zip(pdf["language"], pdf["content"], pdf["bad"]):
-            text = text.removeprefix("﻿")
-            try:
-                ast.parse(text) if lang == "python" else json.loads(text, parse_constant=constant)
-                keep.append(False)
-            except (SyntaxError, ValueError):
-                keep.append(True)
-            except (RecursionError, MemoryError):  # too deep for the parser: the productions decide
-                keep.append(bool(bad))
-        yield pdf.loc[keep, ["project_id", "path"]]
+    Of equal times the state with the greatest scan time and SHA-256 of its content counts. Texts are lexed where they
+    are read; what is moved to find the newest state are verdicts."""
+    rows = Staged(lexed(files).withColumn("row", F.monotonically_increasing_id()), "lexed").df
+    last = rows.groupBy("project_id", "path", "language").agg(F.max(F.struct("modification_time", "scanned_at", "digest", "row", "parsed")).alias("s"))
+    last = last.select("project_id", "path", "language", "s.row", "s.parsed", F.col("s.digest").isNotNull().alias("held"))
+    marked = last.join(faulty(rows.select("row", "language", "groups")).withColumn("bad", F.lit(True)), "row", "left")
+    return marked.select("project_id", "path", "language", F.when(F.col("held"), F.coalesce("parsed", F.col("bad").isNull())).alias("valid"))
 
 
 def invalid_files(files: DataFrame) -> DataFrame:
     """(project_id, path) of the files whose newest content is not valid in the language of the extension.
 
-    An empty file is valid except in JSON, a leading byte-order mark is allowed, null content is no case, and of equal
-    times the state with the greatest scan time and content counts. Rows with a null path are ignored, a null project
-    is a project of its own, repeated rows count once. Other extensions give no row."""
-    states = Staged(newest(files), "states").df
-    judged = _keyed(states).join(faulty(tokens(states)).withColumn("bad", F.lit(True)), _FILE, "left").withColumn("bad", F.coalesce("bad", F.lit(False)))
-    exact = F.col("language").isin("python", "json")
-    parsed = judged.where(exact & F.col("content").isNotNull()).select("project_id", "path", "language", "content", "bad")
-    return judged.where(~exact & F.col("bad")).select("project_id", "path").unionByName(parsed.mapInPandas(_parses, "project_id string, path string"))
+    An empty file is valid except in JSON, a leading byte-order mark is allowed, null content is no case. Rows with a
+    null path are ignored, a null project is a project of its own, repeated rows count once. Other extensions give no
+    row. Extra columns are ignored."""
+    return judged_files(files).where("NOT valid").select("project_id", "path")
 
 
 def file_status(files: DataFrame, parse_results: DataFrame) -> DataFrame:
     """(project_id, path, language, valid, attempts, reported): each file's own verdict beside the number of its parse
     attempts and what the last of them reported (null if there is none). valid is null where there is no content."""
-    states = newest(files)
-    broken = invalid_files(files).withColumn("broken", F.lit(True))
-    last = parse_results.groupBy("project_id", F.col("file_path").alias("path")).agg(F.countDistinct("attempt").alias("attempts"), F.max_by("succeeded", F.struct("attempt", "parsed_at")).alias("reported"))
-    same = lambda o: states["project_id"].eqNullSafe(o["project_id"]) & (states["path"] == o["path"])
-    out = states.join(broken, same(broken), "left").join(last, same(last), "left")
-    valid = F.when(states["content"].isNotNull(), F.col("broken").isNull())
-    return out.select(states["project_id"], states["path"], "language", valid.alias("valid"), F.coalesce("attempts", F.lit(0)).alias("attempts"), "reported")
+    states = judged_files(files)
+    last = parse_results.groupBy(F.col("project_id").alias("p"), F.col("file_path").alias("q")).agg(F.countDistinct("attempt").alias("attempts"), F.max_by("succeeded", F.struct("attempt", "parsed_at")).alias("reported"))
+    out = states.join(last, F.col("project_id").eqNullSafe(F.col("p")) & (F.col("path") == F.col("q")), "left")
+    return out.select("project_id", "path", "language", "valid", F.coalesce("attempts", F.lit(0)).alias("attempts"), "reported")
 
 
 def invalid_rates(files: DataFrame, parse_results: DataFrame) -> DataFrame:
