@@ -3,9 +3,11 @@
 import random
 from collections import defaultdict
 
+import pytest
 from pyspark.sql import functions as F
 
-from cartolith.operators.hierarchy import hierarchy
+from cartolith.operators import hierarchy as H
+from cartolith.operators.hierarchy import hierarchy, with_ancestors
 from cartolith.operators.skew import balanced_aggregate, end_totals, heavy_ends
 
 EDGE = "from_id bigint, to_id bigint, weight bigint, side string, node_id string, w string, is_to int"
@@ -95,5 +97,40 @@ def test_hierarchy_matches_brute_force(spark):
                 assert result[q].entry < r.entry and r.exit < result[q].exit
 
 
+def test_hierarchy_in_rounds_equals_one_task(spark, monkeypatch):
+    rnd = random.Random(8)
+    rows = [("a", str(k), str(k - 1) if k else None) for k in range(250)] + [("b", str(k), str(rnd.randrange(k)) if k else None) for k in range(100)] + [("c", str(k), str((k + 1) % 7)) for k in range(9)]
+    fields = ["project_id", "identity_key", "root_key", "depth", "descendants"]
+    want = sorted(tuple(map(str, r)) for r in hierarchy(_tree(spark, rows)).select(*fields).collect())
+    monkeypatch.setattr(H, "ONE_TASK", 200)
+    monkeypatch.setattr(H, "STOP_EVERY", 5)
+    assert sorted(tuple(map(str, r)) for r in hierarchy(_tree(spark, rows)).select(*fields).collect()) == want
+
+
+@pytest.mark.parametrize("coalesce", ["true", "false"])
+def test_ancestors_across_parts(spark, coalesce, monkeypatch):
+    monkeypatch.setattr(H, "WALK_NAMES", 500)
+    rnd = random.Random(9)
+    rows = [("a", f"n{k}", f"n{k - 1}" if k else None) for k in range(120)] + [("b", f"n{k}", f"n{rnd.randrange(max(0, k - 4), k)}" if k else None) for k in range(200)] + [("c", f"n{k}", None) for k in range(30)]
+    parent = {(p, k): q for p, k, q in rows}
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", coalesce)
+    spark.conf.set("spark.sql.shuffle.partitions", "7")
+    try:
+        got = {(r.project_id, r.identity_key): r.ancestors for r in with_ancestors(hierarchy(_tree(spark, rows)).persist()).collect()}
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    for (p, k), q in parent.items():
+        up = []
+        while q is not None:
+            up.append(q)
+            q = parent[p, q]
+        assert got[p, k] == up[::-1]
+
+
+def test_ancestors_of_nothing(spark):
+    assert with_ancestors(hierarchy(_tree(spark, []))).count() == 0
+
+
 def test_hierarchy_of_nothing(spark):
     assert hierarchy(_tree(spark, [])).count() == 0
