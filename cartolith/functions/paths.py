@@ -45,11 +45,12 @@ def parent(path: Column) -> Column:
 
 
 def normalize(path: Column) -> Column:
-    """Forward slashes, without ./ and with up to eight a/../ folded."""
+    """Forward slashes, without . segments and with every a/../ folded; .. that leads out of the root stays."""
     p = F.regexp_replace(F.regexp_replace(path, r"\\", "/"), r"(^|/)(?:\./)+", "$1")
-    for _ in range(8):
-        p = F.regexp_replace(p, r"(^|/)(?!\.\./)[^/]+/\.\./", "$1")
-    return p
+    parts = F.split(p, "/")
+    real = lambda acc: (F.size(acc) > 0) & (F.element_at(F.concat(F.array(F.lit("..")), acc), -1) != "..") & (F.element_at(F.concat(F.array(F.lit("..")), acc), -1) != "")
+    folded = F.aggregate(parts, F.array().cast("array<string>"), lambda acc, x: F.when((x == "..") & real(acc), F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0)))).otherwise(F.concat(acc, F.array(x))))
+    return F.when(F.contains(p, F.lit("..")), F.array_join(folded, "/")).otherwise(p)
 
 
 def extension_class(path: Column) -> Column:

@@ -121,8 +121,6 @@ def scan(text: str) -> tuple[list[tuple], list[tuple]]:
                     outer = "::".join([*([spaces] if spaces else []), *owner, *([func.rpartition("::")[0]] if "::" in func else [])])
                     calls.append(("::".join(n for _, n in names), callee, outer if owner or "::" in func else "", spaces, line))
             pending.append((kind, token))
-            if len(pending) > 400:
-                pending = pending[-200:]
     return symbols, calls
 
 
@@ -162,5 +160,5 @@ def resolved_calls(files: DataFrame) -> DataFrame:
     symbols = cpp_symbols(files).where("kind IN ('function', 'method')")
     nodes = symbols.select("project_id", F.concat_ws("|", "qualified_name", "path", F.col("line_no").cast("string")).alias("id"), F.col("name").alias("display_name"), "qualified_name")
     calls = cpp_calls(files).select("project_id", "path", "line_no", "caller", "callee", "type_prefix", "namespace_prefix").distinct()
-    calls = calls.withColumn("call_id", F.concat_ws("|", "project_id", "path", F.col("line_no").cast("string"), "caller", "callee"))
-    return resolve.resolve_calls(calls.dropDuplicates(["call_id"]), nodes).select("call_id", "project_id", "callee", F.substring_index("target", "|", 1).alias("target"), "rung")
+    calls = calls.withColumn("call_id", F.concat_ws("|", "project_id", "path", F.col("line_no").cast("string"), "caller", "callee", "type_prefix", "namespace_prefix"))
+    return resolve.resolve_calls(calls, nodes).select("call_id", "project_id", "callee", F.substring_index("target", "|", 1).alias("target"), "rung")

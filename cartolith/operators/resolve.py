@@ -63,6 +63,7 @@ def resolve_java_imports(imports: DataFrame, paths: DataFrame) -> DataFrame:
     return first.select(*pick).unionByName(second.select(*pick)).unionByName(wild.select(*pick)).distinct()
 
 
+# What is tried behind a relative specifier, in this order.
 SCRIPT_TRIES = ["", ".js", ".mjs", ".cjs", ".ts", ".tsx", ".mts", ".cts", "/index.js", "/index.mjs", "/index.cjs", "/index.ts", "/index.tsx", "/index.mts", "/index.cts"]
 
 
@@ -90,9 +91,12 @@ def resolve_calls(calls: DataFrame, nodes: DataFrame) -> DataFrame:
     c = c.withColumn("simple", F.substring_index("callee", "::", -1))
     for n in (1, 2, 3):
         c = c.join(exact.select("project_id", F.col("qualified_name").alias(f"k{n}"), F.col("id").alias(f"r{n}")), ["project_id", f"k{n}"], "left")
-    scoped = c.where("namespace_prefix <> ''").select("call_id", "project_id", "simple", "namespace_prefix").join(shown, ["project_id", "simple"])
-    scoped = unique_lookup(scoped.where(F.startswith("qualified_name", F.concat("namespace_prefix", F.lit("::")))), ["call_id"], "id").select("call_id", F.col("id").alias("r4"))
-    c = c.join(scoped, "call_id", "left").join(only.select("project_id", "simple", F.col("id").alias("r5")), ["project_id", "simple"], "left")
+    # every namespace around a node, so that the search in a namespace is an equi-join whatever the simple name
+    around = F.split("qualified_name", "::")
+    inner = shown.where(F.contains("qualified_name", F.lit("::"))).select(
+        "project_id", "simple", "id", F.explode(F.transform(F.sequence(F.lit(1), F.size(around) - 1), lambda i: F.array_join(F.slice(around, F.lit(1), i), "::"))).alias("namespace_prefix"))
+    scoped = unique_lookup(inner, ["project_id", "simple", "namespace_prefix"], "id").withColumnRenamed("id", "r4")
+    c = c.join(scoped.where("namespace_prefix <> ''"), ["project_id", "simple", "namespace_prefix"], "left").join(only.select("project_id", "simple", F.col("id").alias("r5")), ["project_id", "simple"], "left")
     rungs = [F.col(f"r{n}") for n in range(1, 6)]
     rung = F.coalesce(*[F.when(r.isNotNull(), n) for n, r in enumerate(rungs, 1)])
     return c.select("call_id", "project_id", "callee", F.coalesce(*rungs).alias("target"), rung.alias("rung"))

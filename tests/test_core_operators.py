@@ -136,3 +136,16 @@ def test_repository_scan_and_config(spark, tmp_path):
     cc = tables.compile_commands(spark, str(tmp_path / "cc.json"))
     rows = cc.select("path", tables.sanitized_arguments(F.col("arguments")).alias("a")).collect()
     assert [r.path for r in rows] == ["/r/a.cpp"] and rows[0].a in (["c++", "-Ifoo", "a.cpp"], ["c++", "a.cpp"])
+
+
+def test_paths_fold_however_many_steps_up(spark):
+    deep = "/".join(f"d{k}" for k in range(12)) + "/" + "../" * 10 + "x.h"
+    r = spark.range(1).select(P.normalize(F.lit(deep)).alias("a"), P.normalize(F.lit("../../a/b")).alias("b"), P.normalize(F.lit("a/../../b")).alias("c"), P.normalize(F.lit("./a/./b/../c")).alias("d"), P.normalize(F.lit(None).cast("string")).alias("e")).first()
+    assert tuple(r) == ("d0/d1/x.h", "../../a/b", "../b", "a/c", None)
+
+
+def test_calls_of_a_frequent_name_resolve_in_their_namespace(spark):
+    nodes = spark.createDataFrame([("p", n, "get", f"n{n % 40}::t{n}::get") for n in range(80)] + [("p", 500, "only", "deep::inner::only")], "project_id string, id bigint, display_name string, qualified_name string")
+    calls = spark.createDataFrame([(1, "p", "get", "", "n3::t3"), (2, "p", "get", "", "n3"), (3, "p", "only", "", "deep"), (4, "p", "only", "", ""), (5, "p", "get", "", "none")], "call_id bigint, project_id string, callee string, type_prefix string, namespace_prefix string")
+    got = {r.call_id: (r.target, r.rung) for r in resolve.resolve_calls(calls, nodes).collect()}
+    assert got == {1: (3, 3), 2: (None, None), 3: (500, 4), 4: (500, 5), 5: (None, None)}

@@ -41,3 +41,10 @@ def test_calls_resolve_by_scope(spark):
     got = {r.callee: (r.target, r.rung) for r in cpp_facts.resolved_calls(files).collect()}
     assert got["helper"] == ("app::core::helper", 3) and got["step"] == ("app::core::Parser::step", 2) and got["app::core::pick"] == ("app::core::pick", 1) and got["reset"] == ("reset", 1) and got["run"] == (None, None)
     assert cpp_facts.cpp_symbols(files.limit(0)).count() == 0
+
+
+def test_long_parameter_lists_and_tables_change_no_facts():
+    params = ", ".join(f"const std::vector<int>& value_{k}" for k in range(200))
+    symbols, calls = cpp_facts.scan(f"namespace n {{ int wide({params}) {{ return fold({', '.join(f'a{k}' for k in range(900))}); }} }}\nint t[] = {{{', '.join('f(1)' for _ in range(800))}}};\nvoid g() {{ h(); h(); }}\n")
+    assert [(s[0], s[2]) for s in symbols if s[0] == "function"] == [("function", "n::wide"), ("function", "g")]
+    assert [c[1] for c in calls] == ["fold", "h", "h"]
