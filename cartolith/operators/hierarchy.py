@@ -10,14 +10,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cartolith.runtime import Staged, small_side
+from cartolith.runtime import ONE_TASK, Staged, small_side
 
 #: Blocks into which the children of one parent are spread, so that no family has to be sorted by one task.
 SIBLING_BLOCKS = 64
 #: Rounds of leaf peeling before the rest is settled by pointer doubling (depth would else be the number of rounds).
 PEEL_ROUNDS = 3
-#: Rows of a list or of links (some 50 bytes each) that one task may settle by itself.
-ONE_TASK = 1_000_000
 #: One arc in so many is a stop of the list ranking.
 STOP_EVERY = 32
 #: Names of ancestors that a task holds before it passes them on.

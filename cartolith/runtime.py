@@ -6,12 +6,18 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import _parse_datatype_string
 
 #: Rows up to which a side whose size was counted may be broadcast (about 10 MB of narrow rows).
 BROADCAST_ROWS = 200_000
+#: Rows of some 50 bytes that one task may settle by itself, where a loop of joins would take many rounds.
+ONE_TASK = 1_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,6 +65,28 @@ def stage(df: DataFrame, label: str = "t") -> DataFrame:
     return Staged(df, label).df
 
 
+def in_one_task(tables: dict[str, DataFrame], settle, schema: str) -> DataFrame:
+    """The rows that `settle` makes of the tables, each a list of tuples of integers, in a single task. The caller has
+    counted the rows and found no more than ONE_TASK. The result is staged."""
+    widths = {name: len(t.columns) for name, t in tables.items()}
+    rows = None
+    for name, t in tables.items():
+        values = [*(F.col(c) for c in t.columns), *[F.lit(None)] * (max(widths.values()) - widths[name])]
+        part = t.select(F.lit(name).alias("name"), *[v.cast("bigint").alias(f"c{k}") for k, v in enumerate(values)])
+        rows = part if rows is None else rows.unionByName(part)
+    arrow = to_arrow_schema(_parse_datatype_string(schema))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, list[tuple]] = {name: [] for name in widths}
+        for batch in batches:
+            for name, *values in zip(*[c.to_pylist() for c in batch.columns]):
+                held[name].append(tuple(values[: widths[name]]))
+        columns = zip(*settle(**held))
+        yield from pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(columns, arrow)] or [pa.array([], f.type) for f in arrow], schema=arrow).to_batches()
+
+    return stage(rows.repartition(1).mapInArrow(run, schema), "settled")
+
+
 def small_side(staged: Staged, limit: int = BROADCAST_ROWS) -> DataFrame:
     """The staged rows, hinted for broadcast only if their counted number is within the limit."""
     return F.broadcast(staged.df) if staged.count() <= limit else staged.df
