@@ -226,6 +226,26 @@ def stages(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return best_scores(nodes.select("id").withColumn("base", F.lit(0)), edges.withColumn("w", F.lit(1))).select("id", F.col("score").cast("int").alias("stage"))
 
 
+def _placed_here(nodes: list[tuple], edges: list[tuple], seeds: list[tuple]) -> list[tuple]:
+    component = dict(_components_here(nodes, [(f, t) for f, t in edges if f != t]))
+    between = {(component[f], component[t]) for f, t in edges if f in component and t in component and component[f] != component[t]}
+    stage = dict(_scores_here([(c, 0) for c in set(component.values())], [(f, t, 1) for f, t in between]))
+    found = {i for i, _ in _reach_here(edges, seeds)}
+    return [(i, c, stage[c], i in found) for i, c in component.items()]
+
+
+def placed(nodes: DataFrame, edges: DataFrame, seeds: DataFrame) -> DataFrame:
+    """(id, component, stage, reachable): of each node its component, the stage of that among the components, and whether
+    it can be reached from the seeds."""
+    own, held, first = Staged(nodes.select("id").distinct(), "ids"), Staged(edges.select("f", "t", "w"), "edges"), seeds.select("id").distinct()
+    if _fits(own, held):
+        return in_one_task({"nodes": own.df, "edges": held.df.select("f", "t").distinct(), "seeds": first.join(own.df, "id", "left_semi")}, _placed_here, "id bigint, component bigint, stage int, reachable boolean")
+    comp = Staged(components(own.df, held.df), "component").df
+    stage = stages(comp.select(F.col("component").alias("id")).distinct(), Staged(condense(held.df, comp), "condensed").df)
+    found = reach(held.df, first).select("id", F.lit(True).alias("reachable"))
+    return comp.join(stage.withColumnRenamed("id", "component"), "component").join(found, "id", "left").select("id", "component", "stage", F.coalesce("reachable", F.lit(False)).alias("reachable"))
+
+
 def _layers_here(nodes: list[tuple], edges: list[tuple]) -> list[tuple]:
     after, open_before = _follow(edges), {}
     for _, t in edges:

@@ -27,13 +27,8 @@ def overview_table(spark: SparkSession, d: str) -> DataFrame:
     """modules() with degrees, stage, reachability from the project's entries and component, staged."""
     nodes, edges = module_graph(spark, d)
     mods = Staged(O.modules(graph_nodes(spark, d)), "modules").df
-    comp = Staged(G.components(nodes, edges), "component").df
-    cond = Staged(G.condense(edges, comp), "condensed").df
-    stage = G.stages(comp.select(F.col("component").alias("id")).distinct(), cond)
-    seeds = entries(mods, edges)
-    found = G.reach(edges, seeds).select("id", F.lit(True).alias("reachable"))
-    o = mods.join(G.degrees(edges), "id", "left").fillna(0, ["in_degree", "out_degree"]).join(comp, "id").join(stage.withColumnRenamed("id", "component"), "component", "left")
-    o = o.join(found, "id", "left").withColumn("reachable", F.coalesce("reachable", F.lit(False)))
+    placed = G.placed(nodes, edges, entries(mods, edges))
+    o = mods.join(G.degrees(edges), "id", "left").fillna(0, ["in_degree", "out_degree"]).join(placed, "id")
     return Staged(o, "overview").df
 
 

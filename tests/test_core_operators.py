@@ -1,5 +1,7 @@
 """Operators on literal graphs, paths and lines."""
 
+import random
+
 from pyspark.sql import functions as F
 
 from cartolith.functions import paths as P
@@ -149,3 +151,18 @@ def test_calls_of_a_frequent_name_resolve_in_their_namespace(spark):
     calls = spark.createDataFrame([(1, "p", "get", "", "n3::t3"), (2, "p", "get", "", "n3"), (3, "p", "only", "", "deep"), (4, "p", "only", "", ""), (5, "p", "get", "", "none")], "call_id bigint, project_id string, callee string, type_prefix string, namespace_prefix string")
     got = {r.call_id: (r.target, r.rung) for r in resolve.resolve_calls(calls, nodes).collect()}
     assert got == {1: (3, 3), 2: (None, None), 3: (500, 4), 4: (500, 5), 5: (None, None)}
+
+
+def test_graphs_in_rounds_equal_one_task(spark, monkeypatch):
+    rnd = random.Random(4)
+    edges = _g(spark, [(rnd.randrange(14), rnd.randrange(14), rnd.randrange(1, 9)) for _ in range(22)]).groupBy("f", "t").agg(F.max("w").alias("w")).persist()
+    acyclic, nodes, seeds = edges.where("f < t"), _n(spark, range(16)), _n(spark, [0, 3])
+    base = nodes.withColumn("base", F.col("id") % 3)
+
+    def settle():
+        return [sorted(map(str, df.select(*sorted(df.columns)).collect())) for df in (graph.placed(nodes, edges, seeds), graph.components(nodes, edges), graph.reach(edges, seeds), graph.peel_layers(nodes, edges), graph.best_scores(base, acyclic, keep_path=True))]
+
+    together = settle()
+    monkeypatch.setattr(graph, "ONE_TASK", 0)
+    assert settle() == together
+    assert graph.placed(nodes.limit(0), edges.limit(0), seeds.limit(0)).count() == 0
