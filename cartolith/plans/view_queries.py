@@ -14,10 +14,10 @@ from cartolith.runtime import Staged
 from cartolith.sources.tables import graph_edges, graph_nodes
 
 
-def budgeted_visibility(spark, d):
+def budgeted_visibility(spark, d, overview: DataFrame | None = None):
     """Capabilities shown at first: all of a small project; else entries, the ten of highest priority, and six of
     infrastructure by priority and the weight of their edges with shown ones (the first of them in any case)."""
-    o = Q.overview_table(spark, d)
+    o = overview if overview is not None else Q.overview_table(spark, d)
     s = Q.capability_scores(spark, d, o).select("project_id", "cluster", "priority")
     c = O.clusters(O.capabilities(o)).select("project_id", "cluster", "kind", "name", "mode").join(s, ["project_id", "cluster"])
     c = Staged(c.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("project_id"))), "shown").df
