@@ -74,6 +74,28 @@ def _member_value(pending: list[tuple[str, str]]) -> bool:
 
 def scan(text: str) -> tuple[list[tuple], list[tuple]]:
     """(symbols, calls): (kind, name, qualified name, line) and (caller, callee, type, namespace, line)."""
+    return _scanned(text, [])
+
+
+def tree(text: str) -> list[tuple]:
+    """(number, parent, kind, name, first line, last line, depth) of the file, its scopes and the calls in them."""
+    events: list[tuple] = []
+    _scanned(text, events)
+    rows, open_ = [[0, None, "file", "", 1, text.count("\n") + 1, 0]], [0]
+    for what, kind, name, line in events:
+        if what == "close":
+            if len(open_) > 1:
+                rows[open_.pop()][5] = line
+            continue
+        rows.append([len(rows), open_[-1], kind, name, line, line, len(open_)])
+        if what == "open":
+            open_.append(len(rows) - 1)
+    for k in open_[1:]:
+        rows[k][5] = rows[0][5]  # not closed
+    return [tuple(r) for r in rows]
+
+
+def _scanned(text: str, events: list[tuple]) -> tuple[list[tuple], list[tuple]]:
     symbols, calls, scopes, pending, held, line, at = [], [], [], [], [], 1, 0
     for m in _TOKEN.finditer(text):
         line += text.count("\n", at, m.start())
@@ -88,6 +110,7 @@ def scan(text: str) -> tuple[list[tuple], list[tuple]]:
         if token == "{" and kind == "op":
             if _member_value(pending):
                 scopes.append(("block", ""))
+                events.append(("open", "block", "", line))
                 held.append((len(scopes), pending))
                 pending = []
                 continue
@@ -99,6 +122,8 @@ def scan(text: str) -> tuple[list[tuple], list[tuple]]:
                 typed = inside in ("class", "struct") or "::" in name
                 symbols.append(("method" if opened == "function" and typed else opened, name.rpartition("::")[2], qualified, line))
             scopes.append((opened, name))
+            typed = opened == "function" and (inside in ("class", "struct") or "::" in name)
+            events.append(("open", "method" if typed else opened, name.rpartition("::")[2], line))
             pending = []
         elif token == "}" and kind == "op":
             pending = []
@@ -106,6 +131,7 @@ def scan(text: str) -> tuple[list[tuple], list[tuple]]:
                 if held and held[-1][0] == len(scopes):
                     pending = [*held.pop()[1], ("op", "}")]
                 scopes.pop()
+                events.append(("close", "", "", line))
         elif token == ";" and kind == "op":
             pending = []
         else:
@@ -119,6 +145,7 @@ def scan(text: str) -> tuple[list[tuple], list[tuple]]:
                     owner = [n for k, n in names if k in ("class", "struct")]
                     func = next((n for k, n in reversed(names) if k == "function"), "")
                     outer = "::".join([*([spaces] if spaces else []), *owner, *([func.rpartition("::")[0]] if "::" in func else [])])
+                    events.append(("leaf", "call", callee, line))
                     calls.append(("::".join(n for _, n in names), callee, outer if owner or "::" in func else "", spaces, line))
             pending.append((kind, token))
     return symbols, calls

@@ -156,12 +156,19 @@ def dag_heaviest_path(spark, d):
     return G.best_scores(roots, e)
 
 
+def module_flows(spark, d) -> DataFrame:
+    """(project_id, id, score, path): the heaviest way over the condensed module graph that ends in each component."""
+    n, e = module_graph(spark, d)
+    comp = Staged(G.components(n, e), "component").df
+    best = G.best_scores(comp.select(F.col("component").alias("id")).distinct().withColumn("base", F.lit(0)), Staged(G.condense(e, comp), "condensed").df, keep_path=True)
+    return best.join(graph_nodes(spark, d).where("kind = 'module'").select("id", "project_id"), "id").withColumn("path", F.transform("path", lambda x: x.cast("string")))
+
+
 def heaviest_flows(spark, d):
-    """The five heaviest paths, of two nodes or more."""
-    e = commerce_dag(spark, d)
-    best = G.best_scores(_ends(e).withColumn("base", F.lit(0)), e, keep_path=True).where("size(path) > 1")
-    r = best.withColumn("r", F.row_number().over(Window.orderBy(F.desc("score"), "id"))).where("r <= 5")
-    return r.select("r", "score", F.array_join(F.transform("path", lambda x: x.cast("string")), ">").alias("signature"))
+    """The five heaviest ways of each project, of two components or more."""
+    best = module_flows(spark, d).where("size(path) > 1")
+    r = best.withColumn("r", F.row_number().over(Window.partitionBy("project_id").orderBy(F.desc("score"), "id"))).where("r <= 5")
+    return r.select("project_id", "r", "score", F.array_join("path", ">").alias("signature"))
 
 
 def include_reach(spark, d):
@@ -437,6 +444,10 @@ _PAIR = lambda src: f"SELECT least(f, t) AS a, greatest(f, t) AS b, CAST(sum(w)
 _DEGREE = lambda src: f"SELECT id, CAST(sum(i) AS BIGINT) AS in_degree, CAST(sum(o) AS BIGINT) AS out_degree FROM (SELECT f AS id, 0 AS i, 1 AS o FROM {src} UNION ALL SELECT t, 1, 0 FROM {src}) GROUP BY 1"
 _DAGN = f"WITH RECURSIVE {DAG}, ends AS (SELECT CAST(f AS BIGINT) AS id FROM dag UNION SELECT CAST(t AS BIGINT) FROM dag)"
 _NOISE = "CASE WHEN len(list_filter(sg, lambda x: x IN ('generated', 'generatedfiles', 'autogen', 'autogenerated', '.generated', 'gen'))) > 0 THEN 'generated' WHEN sg[1] IN ('example', 'examples', 'sample', 'samples', 'demo', 'demos', 'playground', 'sandbox', 'prototype', 'prototypes', 'bench', 'benchmarks') THEN 'example' WHEN sg[1] IN ('test', 'tests', 'testdata', 'fixture', 'fixtures', 'mock', 'mocks', 'stub', 'stubs', '__tests__') THEN 'test' END"
+_FLOWS = f"""WITH RECURSIVE {MODULE_EDGES}, {_SCC}, {_COND}, hv(id, s) AS (SELECT component, CAST(0 AS BIGINT) FROM comp UNION SELECT cond.t, hv.s + cond.w FROM hv JOIN cond ON cond.f = hv.id), best AS (SELECT id, max(s) AS s FROM hv GROUP BY 1),
+pred AS (SELECT c.t AS id, min(c.f) AS f FROM cond c JOIN best a ON a.id = c.f JOIN best b ON b.id = c.t WHERE a.s + c.w = b.s AND b.s > 0 GROUP BY 1),
+way(id, sig, n) AS (SELECT id, CAST(id AS VARCHAR), 1 FROM best WHERE id NOT IN (SELECT id FROM pred) UNION ALL SELECT p.id, way.sig || '>' || p.id, n + 1 FROM way JOIN pred p ON p.f = way.id),
+flow AS (SELECT m.project_id, way.id, best.s, way.sig, way.n FROM way JOIN best ON best.id = way.id JOIN (SELECT DISTINCT id, project_id FROM nodes WHERE kind = 'module') m ON m.id = way.id)"""
 _MERGEKEY = "coalesce('id:' || nullif(identity_key, ''), 'name:' || kind || ':' || nullif(qualified_name, ''), 'row:' || id)"
 
 SQL = {
@@ -463,6 +474,7 @@ SQL = {
     "dag_layers": _DAGN + ", h(id, s) AS (SELECT id, 0 FROM ends UNION SELECT dag.t, h.s + 1 FROM h JOIN dag ON dag.f = h.id) SELECT CAST(id AS BIGINT) AS id, CAST(max(s) AS INTEGER) AS layer FROM h GROUP BY 1",
     "dag_stages": _DAGN + ", h(id, s) AS (SELECT id, 0 FROM ends UNION SELECT dag.t, h.s + 1 FROM h JOIN dag ON dag.f = h.id) SELECT CAST(id AS BIGINT) AS id, CAST(max(s) AS INTEGER) AS stage FROM h GROUP BY 1",
     "dag_heaviest_path": _DAGN + ", h(id, s) AS (SELECT id, CASE WHEN id IN (SELECT t FROM dag) THEN 0 ELSE 1 END FROM ends UNION SELECT dag.t, h.s + dag.w FROM h JOIN dag ON dag.f = h.id) SELECT CAST(id AS BIGINT) AS id, CAST(max(s) AS BIGINT) AS score FROM h GROUP BY 1",
+    "heaviest_flows": _FLOWS + ", r AS (SELECT project_id, row_number() OVER (PARTITION BY project_id ORDER BY s DESC, id) AS r, s, sig FROM flow WHERE n > 1) SELECT project_id, CAST(r AS INTEGER) AS r, CAST(s AS BIGINT) AS score, sig AS signature FROM r WHERE r <= 5",
     "include_reach": "WITH RECURSIVE e AS (SELECT DISTINCT from_id AS f, to_id AS t FROM edges WHERE kind = 'includes' AND from_id <> 0 AND to_id <> 0), lv(id, s) AS (SELECT DISTINCT f, 0 FROM e WHERE f NOT IN (SELECT t FROM e WHERE f <> t) UNION SELECT e.t, lv.s + 1 FROM lv JOIN e ON e.f = lv.id WHERE lv.s < 40) SELECT id, CAST(min(s) AS INTEGER) AS hops FROM lv GROUP BY 1",
     "scc_members": f"WITH RECURSIVE {MODULE_EDGES}, {_SCC} SELECT id, component FROM comp",
     "condensation_edges": f"WITH RECURSIVE {MODULE_EDGES}, {_SCC}, {_COND} SELECT f, t, w FROM cond",

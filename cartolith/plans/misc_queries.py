@@ -13,7 +13,7 @@ from cartolith.operators import layout as L
 from cartolith.operators import overview as O
 from cartolith.operators import rollup
 from cartolith.plans import graph_queries as Q
-from cartolith.plans.sqlparts import MODULE_EDGES, NODES, PATHS, base, ext, in_list
+from cartolith.plans.sqlparts import MODULE_EDGES, NEWEST, NODES, PATHS, base, ext, in_list
 from cartolith.runtime import Staged, table
 from cartolith.sources.tables import file_paths, graph_edges, graph_nodes, newest_files
 from cartolith.streaming import incremental
@@ -47,9 +47,9 @@ def semantic_edge_support(spark, d):
 
 
 def type_use_closure(spark, d):
-    """Types that the structs with a score of 90 or more use, directly or not."""
+    """What the types of all projects use, directly or not; the types themselves with 0 steps."""
     e = graph_edges(spark, d).where("kind = 'uses_type' AND from_id <> 0 AND to_id <> 0").select(F.col("from_id").alias("f"), F.col("to_id").alias("t")).distinct()
-    return G.reach(e, graph_nodes(spark, d).where("kind = 'struct' AND candidate_score >= 90").select("id"))
+    return G.reach(e, graph_nodes(spark, d).where("kind IN ('class', 'struct', 'enum')").select("id"))
 
 
 def external_usage(spark, d):
@@ -294,11 +294,12 @@ def relationship_items(spark, d):
 
 
 def unchanged_files(spark, d):
-    """Files of the newest snapshot that a re-extraction skips, against all earlier states."""
+    """Files that a re-extraction skips: their newest state is the one that the first snapshot knew."""
+    f = table(spark, d, "files").where("path IS NOT NULL")
+    oldest = f.groupBy("project_id", "path").agg(F.min(F.struct("modification_time", "scanned_at", "content", "length")).alias("s")).select("project_id", "path", "s.length", "s.modification_time")
     now = newest_files(spark, d).select(*incremental.STATE)
-    old = table(spark, d, "files").where("path IS NOT NULL").select(*incremental.STATE).distinct().join(now, [*incremental.STATE], "left_anti")
-    known = old.unionByName(now.where("length IS NULL"))
-    return now.join(incremental.changed(now, known).select("project_id", "path"), ["project_id", "path"], "left_anti").groupBy("project_id").agg(F.count(F.lit(1)).alias("skipped"))
+    same = now.join(incremental.changed(now, oldest).select(F.col("project_id").alias("p"), F.col("path").alias("q")), F.col("project_id").eqNullSafe(F.col("p")) & (F.col("path") == F.col("q")), "left_anti")
+    return same.groupBy("project_id").agg(F.count(F.lit(1)).alias("skipped"))
 
 
 def language_labels(spark, d):
@@ -337,7 +338,12 @@ SQL = {
     "symbol_registry": f"WITH {_REG} SELECT *, CAST(row_number() OVER (PARTITION BY project_id ORDER BY coalesce(path, ''), coalesce(line, 0), coalesce(qualified_name, ''), kind, identity_key) AS INTEGER) AS ord FROM registry",
     "preferred_locations": f"WITH {_REG} SELECT project_id, identity_key, path, line FROM registry WHERE path IS NOT NULL",
     "semantic_edge_support": "SELECT kind, from_id, to_id, count(*) AS support FROM edges WHERE fact_source = 'semantic' AND kind IN ('inherits', 'overrides', 'uses_type') AND from_id <> 0 AND to_id <> 0 GROUP BY 1, 2, 3",
-    "type_use_closure": "WITH RECURSIVE e AS (SELECT DISTINCT from_id AS f, to_id AS t FROM edges WHERE kind = 'uses_type' AND from_id <> 0 AND to_id <> 0), r(id, s) AS (SELECT DISTINCT id, 0 FROM nodes WHERE kind = 'struct' AND candidate_score >= 90 UNION SELECT e.t, r.s + 1 FROM r JOIN e ON e.f = r.id WHERE r.s < 40) SELECT id, CAST(min(s) AS INTEGER) AS hops FROM r GROUP BY 1",
+    "unchanged_files": f"""WITH {NEWEST}, o AS (SELECT project_id, path, length, modification_time FROM (SELECT *, row_number() OVER (PARTITION BY project_id, path ORDER BY modification_time NULLS FIRST, scanned_at NULLS FIRST, content NULLS FIRST, length NULLS FIRST) AS rn FROM files WHERE path IS NOT NULL) WHERE rn = 1)
+        SELECT a.project_id, count(*) AS skipped FROM newest a JOIN o b ON a.project_id IS NOT DISTINCT FROM b.project_id AND a.path = b.path AND a.length IS NOT DISTINCT FROM b.length AND a.modification_time IS NOT DISTINCT FROM b.modification_time GROUP BY 1""",
+    "capped_edges": f"""WITH RECURSIVE {MODULE_EDGES}, c AS (SELECT m.project_id, f, t, row_number() OVER (PARTITION BY m.project_id ORDER BY w DESC, f, t) AS k FROM dep JOIN (SELECT DISTINCT id, project_id FROM nodes WHERE kind = 'module') m ON m.id = dep.f),
+        g(project_id, k, taken) AS (SELECT DISTINCT project_id, CAST(0 AS BIGINT), CAST([] AS STRUCT(f BIGINT, t BIGINT)[]) FROM c UNION ALL SELECT g.project_id, c.k, CASE WHEN len(taken) < 18 AND len(list_filter(taken, lambda y: y.f = c.f)) < 4 AND len(list_filter(taken, lambda y: y.t = c.t)) < 4 THEN list_append(taken, {{'f': c.f, 't': c.t}}) ELSE taken END FROM g JOIN c ON c.project_id = g.project_id AND c.k = g.k + 1),
+        z AS (SELECT project_id, arg_max(taken, k) AS a FROM g GROUP BY 1), u AS (SELECT project_id, CAST(unnest(range(0, len(a))) AS INTEGER) AS lane, unnest(a) AS x FROM z) SELECT project_id, lane, x.f AS f, x.t AS t FROM u""",
+    "type_use_closure": "WITH RECURSIVE e AS (SELECT DISTINCT from_id AS f, to_id AS t FROM edges WHERE kind = 'uses_type' AND from_id <> 0 AND to_id <> 0), r(id, s) AS (SELECT DISTINCT id, 0 FROM nodes WHERE kind IN ('class', 'struct', 'enum') UNION SELECT e.t, r.s + 1 FROM r JOIN e ON e.f = r.id WHERE r.s < 40) SELECT id, CAST(min(s) AS INTEGER) AS hops FROM r GROUP BY 1",
     "external_usage": "SELECT e.to_id, e.project_id, count(*) AS uses, CAST(sum(weight) AS BIGINT) AS weight, x.display_name, x.kind AS symbol_kind FROM edges e JOIN external_symbols x ON x.id = e.to_id GROUP BY e.to_id, e.project_id, x.display_name, x.kind",
     "adjacency_index": f"WITH {MODULE_EDGES}, b AS (SELECT f AS id, t AS n FROM dep UNION ALL SELECT t, f FROM dep) SELECT id, count(*) AS incident, string_agg(DISTINCT CAST(n AS VARCHAR), ',' ORDER BY CAST(n AS VARCHAR)) AS neighbours FROM b GROUP BY 1",
     "edge_endpoints": f"WITH {MODULE_EDGES}, {_MN} SELECT dep.f, dep.t, dep.w, a.display_name AS from_name, b.display_name AS to_name FROM dep JOIN mn a ON a.id = dep.f JOIN mn b ON b.id = dep.t",

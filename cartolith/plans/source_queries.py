@@ -320,6 +320,10 @@ SQL = {
     "behaviour_signals": f"WITH {NEWEST} SELECT project_id, path, array_to_string(list_filter([{_SIG}], lambda x: x IS NOT NULL), ',') AS signals FROM newest WHERE content IS NOT NULL",
     "import_clues": f"""WITH {LINES}, f AS (SELECT project_id, path, trim(line) AS t, min(line_no) AS n FROM lines WHERE regexp_matches(line, '^\\s*(#\\s*include|import |from |using |package )') GROUP BY 1, 2, 3), r AS (SELECT *, row_number() OVER (PARTITION BY project_id, path ORDER BY n) AS r FROM f)
         SELECT project_id, path, string_agg(t, ' | ' ORDER BY r) AS clues FROM r WHERE r <= 6 GROUP BY 1, 2""",
+    "preview_anchors": f"""WITH RECURSIVE {LINES}, s AS (SELECT project_id, path, line_no, sum({_SCORE}) OVER (PARTITION BY project_id, path ORDER BY line_no ROWS BETWEEN CURRENT ROW AND 16 FOLLOWING) AS block FROM lines),
+        c AS (SELECT project_id, path, CAST(line_no AS INTEGER) AS line_no, row_number() OVER (PARTITION BY project_id, path ORDER BY block DESC, line_no) AS k FROM s WHERE block >= 3),
+        g(project_id, path, k, taken) AS (SELECT DISTINCT project_id, path, CAST(0 AS BIGINT), CAST([] AS INTEGER[]) FROM c UNION ALL SELECT g.project_id, g.path, c.k, CASE WHEN len(list_filter(taken, lambda y: abs(y - c.line_no) < 6)) > 0 THEN taken ELSE list_append(taken, c.line_no) END FROM g JOIN c ON c.project_id = g.project_id AND c.path = g.path AND c.k = g.k + 1)
+        SELECT project_id, path, unnest(arg_max(taken, k)) AS line_no FROM g GROUP BY 1, 2""",
     "sliding_complexity": f"WITH {LINES}, s AS (SELECT project_id, path, line_no, {_SCORE} AS score FROM lines) SELECT project_id, path, line_no, CAST(score AS INTEGER) AS score, CAST(sum(score) OVER (PARTITION BY project_id, path ORDER BY line_no ROWS BETWEEN CURRENT ROW AND 16 FOLLOWING) AS BIGINT) AS block FROM s",
     "running_brace_depth": f"""WITH {LINES}, s AS (SELECT *, (length(line) - length(replace(line, '{{', ''))) - (length(line) - length(replace(line, '}}', ''))) AS step FROM lines), x AS (SELECT *, sum(step) OVER w AS depth FROM s WINDOW w AS (PARTITION BY project_id, path ORDER BY line_no))
         SELECT project_id, path, line_no, CAST(depth AS BIGINT) AS depth, CAST(sum(CASE WHEN depth = 0 AND step < 0 THEN 1 ELSE 0 END) OVER (PARTITION BY project_id, path ORDER BY line_no) AS BIGINT) AS scope FROM x""",

@@ -89,13 +89,8 @@ def evidence_totals(spark, d):
 
 def main_flows(spark, d):
     """The heaviest path of module components of each project."""
-    n, e = Q.module_graph(spark, d)
-    comp = Staged(G.components(n, e), "component").df
-    cond = Staged(G.condense(e, comp), "condensed").df
-    best = G.best_scores(comp.select(F.col("component").alias("id")).distinct().withColumn("base", F.lit(0)), cond, keep_path=True)
-    own = graph_nodes(spark, d).where("kind = 'module'").select("id", "project_id")
-    top = best.join(own, "id").groupBy("project_id").agg(F.max_by(F.struct("score", "path"), F.struct("score", (-F.col("id")).alias("i"))).alias("b"))
-    return top.select("project_id", F.col("b.score").alias("score"), F.array_join(F.transform("b.path", lambda x: x.cast("string")), ">").alias("path"))
+    top = Q.module_flows(spark, d).groupBy("project_id").agg(F.max_by(F.struct("score", "path"), F.struct("score", (-F.col("id")).alias("i"))).alias("b"))
+    return top.select("project_id", F.col("b.score").alias("score"), F.array_join("b.path", ">").alias("path"))
 
 
 def project_comparison(spark, d):
@@ -105,13 +100,13 @@ def project_comparison(spark, d):
     rows = Staged(rows, "figures").df
     largest = rows.where("title = 'files'").agg(F.max_by("project_id", F.struct("value", "project_id")).alias("p"))
     other = rows.where(F.col("project_id") == largest.scalar()).select("title", F.col("value").alias("largest"))
-    return rows.join(F.broadcast(other), "title")  # six rows
+    return rows.join(F.broadcast(other), "title")  # a row for each of six titles
 
 
 QUERIES = {f.__name__: f for f in (budgeted_visibility, noise_folding, dependency_folding, card_remarks, project_totals, leading_modules, reading_order, view_edges, evidence_totals, main_flows, project_comparison)}
 
-_TOTALS = "tot AS (SELECT project_id, count(*) AS modules, CAST(sum(file_count) AS BIGINT) AS files, CAST(sum(cpp_files) AS BIGINT) AS cpp, CAST(sum(script_files) AS BIGINT) AS script, CAST(sum(data_files) AS BIGINT) AS data, count(*) FILTER (is_entry) AS entries FROM mods GROUP BY 1)"
-_FIG = "fig AS (" + " UNION ALL ".join(f"SELECT project_id, '{c}' AS title, {c} AS value FROM tot" for c in ("modules", "files", "cpp", "script", "data", "entries")) + ")"
+_TOTALS = "tot AS MATERIALIZED (SELECT project_id, count(*) AS modules, CAST(sum(file_count) AS BIGINT) AS files, CAST(sum(cpp_files) AS BIGINT) AS cpp, CAST(sum(script_files) AS BIGINT) AS script, CAST(sum(data_files) AS BIGINT) AS data, count(*) FILTER (is_entry) AS entries FROM mods GROUP BY 1)"
+_FIG = "fig AS MATERIALIZED (SELECT project_id, unnest(['modules', 'files', 'cpp', 'script', 'data', 'entries']) AS title, unnest([modules, files, cpp, script, data, entries]) AS value FROM tot)"
 _KV = Q._NOISE
 SQL = {
     "budgeted_visibility": Q._SCORES + """, a AS (SELECT project_id, cluster, kind, name, mode, priority, count(*) OVER (PARTITION BY project_id) AS n, row_number() OVER (PARTITION BY project_id, kind ORDER BY priority DESC, name, cluster) AS pl FROM scores),
@@ -128,5 +123,6 @@ SQL = {
     "reading_order": Q._FULL + ", s AS (SELECT project_id, id AS start_id FROM (SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY NOT is_entry, in_degree + out_degree DESC, name, id) AS r FROM ov) WHERE r = 1), h AS (SELECT project_id, id AS hub_id FROM (SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY in_degree DESC, id) AS r FROM ov) WHERE r = 1), l AS (SELECT project_id, id AS end_id FROM (SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY stage DESC, id) AS r FROM ov) WHERE r = 1) SELECT * FROM s JOIN h USING (project_id) JOIN l USING (project_id)",
     "view_edges": f"WITH {MODULE_EDGES}, m AS (SELECT DISTINCT id, project_id FROM nodes WHERE kind = 'module'), r AS (SELECT m.project_id, CAST(row_number() OVER (PARTITION BY m.project_id ORDER BY w DESC, f, t) AS INTEGER) AS place, f, t, w FROM dep JOIN m ON m.id = dep.f) SELECT * FROM r WHERE place <= 220",
     "evidence_totals": f"WITH {NODES}, x AS (SELECT DISTINCT project_id, from_id AS id FROM edges WHERE from_id <> 0 UNION SELECT DISTINCT project_id, to_id FROM edges WHERE to_id <> 0) SELECT x.project_id, count(DISTINCT file_path) AS files, count(DISTINCT CASE WHEN kind NOT IN ('file', 'module') THEN n.id END) AS symbols, count(DISTINCT module_id) AS modules FROM x JOIN n ON n.id = x.id GROUP BY 1",
+    "main_flows": Q._FLOWS + " SELECT project_id, CAST(s AS BIGINT) AS score, sig AS path FROM flow QUALIFY row_number() OVER (PARTITION BY project_id ORDER BY s DESC, id) = 1",
     "project_comparison": f"WITH {Q._OV}, {_TOTALS}, {_FIG} SELECT a.title, a.project_id, a.value, b.value AS largest FROM fig a JOIN fig b ON b.title = a.title AND b.project_id = (SELECT project_id FROM tot ORDER BY files DESC, project_id DESC LIMIT 1)",
 }
