@@ -50,12 +50,6 @@ FOREIGN = (
 GENERATED_ANNOTATION = r"(?m)^[ \t]*@(?:javax?\.|jakarta\.)?(?:annotation\.)?(?:processing\.)?Generated\b"
 
 
-def newest_states(files: DataFrame) -> DataFrame:
-    """(project_id, path, content) of each file's state with the latest modification_time."""
-    last = F.max(F.struct("modification_time", "scanned_at", "content"))
-    return files.where(F.col("path").isNotNull()).groupBy("project_id", "path").agg(last["content"].alias("content"))
-
-
 def path_evidence(path: Column) -> Column:
     """'third-party', 'output' or null."""
     p = F.lower(F.regexp_replace(path, r"\\", "/"))
@@ -143,23 +137,32 @@ def copied_classes(states: DataFrame) -> DataFrame:
     return early.unionByName(late).unionByName(many).unionByName(same).distinct()
 
 
-def machine_files(files: DataFrame) -> DataFrame:
-    """(project_id, path, reason): files that are tool output, minified, third-party or data.
+def judged_states(files: DataFrame) -> DataFrame:
+    """(project_id, path, by_path, by_text, foreign, class_id, hashes) of each file's newest state.
 
-    The newest state of a path counts; of equal times the one with the greatest scan time and content. Files with null
-    or empty content are judged by path alone. Rows with a null path are ignored, repeated rows count once, a null
-    project is a project of its own (but none of those that COPY_PROJECTS counts)."""
+    Texts are searched where they are read; what is moved to find the newest state are the verdicts and line hashes."""
     body = F.col("content")
-    states = newest_states(files).withColumn("by_path", path_evidence(F.col("path")))
-    states = states.withColumn("by_text", F.when(F.length(body) > 0, F.coalesce(statement_evidence(body), composition_evidence(F.col("path"), body))))
-    states = states.withColumn("class_id", F.md5(F.regexp_replace(body, r"[\s﻿]+", "")))
+    rows = files.where(F.col("path").isNotNull()).select(
+        "project_id", "path", "modification_time", "scanned_at", F.md5(body).alias("digest"), F.when(F.length(body) > 0, F.coalesce(statement_evidence(body), composition_evidence(F.col("path"), body))).alias("by_text"),
+        F.when(F.length(body) > 0, F.md5(F.regexp_replace(body, r"[\s﻿]+", ""))).alias("class_id"), line_hashes(body).alias("hashes"))
+    last = rows.groupBy("project_id", "path").agg(F.max(F.struct("modification_time", "scanned_at", "digest", "by_text", "class_id", "hashes")).alias("s"))
+    states = last.select("project_id", "path", path_evidence(F.col("path")).alias("by_path"), "s.by_text", "s.class_id", "s.hashes")
     foreign = F.coalesce((F.col("by_path") == "third-party") | (F.col("by_text") == "third-party"), F.lit(False))
-    judged = states.select("project_id", "path", "by_path", "by_text", foreign.alias("foreign"), F.when(F.length(body) > 0, F.col("class_id")).alias("class_id"), line_hashes(body).alias("hashes"))
-    states = Staged(judged, "judged").df  # texts are read and searched once
+    return states.withColumn("foreign", foreign)
+
+
+def machine_files(files: DataFrame) -> DataFrame:
+    """(project_id, path, reason, evidence): files that are tool output, minified, third-party or data, and whether the
+    path, a statement or composition of the text, or lines shared with other files told so.
+
+    The newest state of a path counts; of equal times the one with the greatest scan time and MD5 of its content. Files
+    with null or empty content are judged by path alone. Rows with a null path are ignored, repeated rows count once, a
+    null project is a project of its own (but none of those that COPY_PROJECTS counts)."""
+    states = Staged(judged_states(files), "judged").df
     copied = copied_classes(states.where("class_id IS NOT NULL"))
     marked = states.join(copied.withColumn("copied", F.lit("third-party")), "class_id", "left")
-    reason = F.coalesce("by_path", "by_text", "copied")
-    return marked.withColumn("reason", reason).where("reason IS NOT NULL").select("project_id", "path", "reason")
+    evidence = F.when(F.col("by_path").isNotNull(), "path").when(F.col("by_text").isNotNull(), "text").otherwise("lines")
+    return marked.withColumn("reason", F.coalesce("by_path", "by_text", "copied")).where("reason IS NOT NULL").select("project_id", "path", "reason", evidence.alias("evidence"))
 
 
 def normal_path(path: Column, root: Column) -> Column:

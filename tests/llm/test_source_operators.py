@@ -150,3 +150,27 @@ def test_machine_files_of_nothing(spark):
 def test_report_paths_are_normalised(spark):
     df = spark.createDataFrame([("./src//a.cpp", "/r"), ("/r/src/./a.cpp", "/r/"), ("src\\a.cpp", None), ("D:\\w\\src\\a.cpp", "D:\\w"), (None, "/r")], "p string, r string")
     assert [r[0] for r in df.select(sourcefiles.normal_path(df.p, df.r)).collect()] == ["src/a.cpp"] * 4 + [None]
+
+
+def test_lines_alone_tell_copies(spark):
+    """Copies with edits in ordinary folders, whose originals are the only files that path or text give away."""
+    rnd = random.Random(12)
+    libs = [_code(400 + k, 30) for k in range(12)]
+    rows, want = [], set()
+    for k, lib in enumerate(libs):
+        rows.append(("a", f"vendor/lib{k}/x.cpp", T1, lib))
+        for n in range(3):
+            lines = lib.split("\n")
+            for at in rnd.sample(range(30), 1 + n):
+                lines[at] = f"int own_{k}_{n}_{at} = {at};"
+            rows.append((f"p{n}", f"src/c{k}_{n}.cpp", T1, "\n".join(lines)))
+            want.add(f"src/c{k}_{n}.cpp")
+    rows += [(f"p{n}", f"src/own{n}.cpp", T1, _code(600 + n, 30)) for n in range(40)]
+    got = sourcefiles.machine_files(_files(spark, rows)).where("evidence = 'lines'").collect()
+    assert {r.path for r in got} == want
+
+
+def test_the_newest_state_is_judged(spark):
+    gen = "// Code generated by tool 1.2; DO NOT EDIT.\n"
+    rows = [("a", "src/a.cpp", T1, gen + _code(1)), ("a", "src/a.cpp", T2, _code(1)), ("a", "src/b.cpp", T2, gen + _code(2)), ("a", "src/b.cpp", T1, _code(2)), ("a", "src/c.cpp", T2, None), ("a", "src/c.cpp", T1, gen + _code(3))]
+    assert {r.path for r in sourcefiles.machine_files(_files(spark, rows)).collect()} == {"src/b.cpp"}
