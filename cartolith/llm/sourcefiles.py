@@ -104,20 +104,21 @@ def copied_classes(states: DataFrame) -> DataFrame:
     whatever the others; so these lines lead to every source, and all lines of the pair are compared. Lines that stand
     in many files that are no copies of each other (boilerplate) do not make a copy by themselves: LEAST_RARE others must
     be shared. Copies of one file count once there, however many they are."""
-    of_class = states.groupBy("class_id").agg(F.max("foreign").alias("foreign"), F.count_distinct("project_id").alias("projects"), F.min("project_id").alias("lo"), F.max("project_id").alias("hi"), F.min("hashes").alias("hashes"))
-    lined = Staged(of_class.withColumn("n", F.size("hashes")), "lined").df
+    of_class = states.groupBy(F.col("class_id").alias("content_id")).agg(F.max("foreign").alias("foreign"), F.count_distinct("project_id").alias("projects"), F.min("project_id").alias("lo"), F.max("project_id").alias("hi"), F.min("hashes").alias("hashes"))
+    # lines are moved several times, so they carry a number of their class and what is asked of it, and nothing else
+    bucket = F.when(~F.col("foreign"), F.pmod(F.xxhash64("lo"), F.lit(FIRST_HOLDERS))).cast("tinyint")
+    lined = Staged(of_class.withColumn("n", F.size("hashes")).withColumn("class_id", F.monotonically_increasing_id()).withColumn("bucket", bucket), "lined").df
     many = lined.where(~F.col("foreign") & (F.col("projects") >= COPY_PROJECTS) & (F.col("n") >= LEAST_COPIED)).select("class_id")
     same = lined.where(F.col("foreign") & (F.col("n") >= LEAST_LINES)).select("class_id")
-    lines = lined.select("class_id", "foreign", "projects", "lo", "n", F.explode("hashes").alias("line"))
+    lines = lined.select("class_id", "foreign", (F.col("foreign") | (F.col("projects") > 0)).alias("holder"), "bucket", "n", F.explode("hashes").alias("line"))
     counted = lines.join(lines.groupBy("line").agg(F.count(F.lit(1)).alias("df")), "line")
     placed = counted.withColumn("place", F.row_number().over(Window.partitionBy("class_id").orderBy("df", "line"))).where(F.col("df") > 1)
     rows = Staged(placed, "lines").df
     needed = F.col("n") - F.ceil(CONTAINED * F.col("n") - 1e-9) + 1
     leading = rows.where(~F.col("foreign") & (F.col("n") >= LEAST_LINES) & (F.col("place") <= needed)).select("class_id", "line", "n", "df")
-    holders = rows.where(F.col("foreign") | (F.col("projects") > 0))
+    holders = rows.where("holder")
     # few holders of each line settle most copies; the rest are compared with all holders
-    bucket = F.when(~F.col("foreign"), F.pmod(F.xxhash64("lo"), F.lit(FIRST_HOLDERS)))
-    few = holders.groupBy("line", bucket.alias("bucket")).agg(F.min_by("class_id", F.struct(-F.col("n"), F.col("class_id"))).alias("source"))
+    few = holders.groupBy("line", "bucket").agg(F.min_by("class_id", F.struct(-F.col("n"), F.col("class_id"))).alias("source"))
     first = leading.join(few, "line").where(F.col("class_id") != F.col("source")).select("class_id", "source").distinct()
     near = Staged(contained_pairs(first, lined), "near").df
     # files whose first container is the same are one group of copies
@@ -134,7 +135,8 @@ def copied_classes(states: DataFrame) -> DataFrame:
     rest = leading.join(telling, "class_id", "left_semi").join(early, "class_id", "left_anti").withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), parts - 1)))
     every = rest.join(spread, ["line", "part"]).where((F.col("class_id") != F.col("source")) & (F.col("m") >= CONTAINED * F.col("n") - 1e-9)).select("class_id", "source").distinct()
     late = settled_classes(contained_pairs(every, lined), telling)
-    return early.unionByName(late).unionByName(many).unionByName(same).distinct()
+    found = early.unionByName(late).unionByName(many).unionByName(same).distinct()
+    return lined.select("class_id", "content_id").join(found, "class_id", "left_semi").select(F.col("content_id").alias("class_id"))
 
 
 def judged_states(files: DataFrame) -> DataFrame:
