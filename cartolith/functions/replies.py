@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -9,24 +11,24 @@ from pyspark.sql import functions as F
 from cartolith.functions.text import strip_code_fence
 
 
+_OUTSIDE, _IN_STRING = re.compile('["{}]'), re.compile(r'\\.|"', re.S)
+
+
 def first_object(text: str | None) -> str | None:
     """The first balanced JSON object of a text, mindful of strings and escapes; the text from its first brace if it
     never closes; None without one."""
     at = (text or "").find("{")
     if at < 0:
         return None
-    depth, quoted, i = 0, False, at
-    while i < len(text):
-        c = text[i]
-        if quoted and c == "\\":
-            i += 1
-        elif c == '"':
+    depth, quoted, pos = 0, False, at
+    while m := (_IN_STRING if quoted else _OUTSIDE).search(text, pos):
+        pos = m.end()
+        if m[0] == '"':
             quoted = not quoted
         elif not quoted:
-            depth += (c == "{") - (c == "}")
+            depth += 1 if m[0] == "{" else -1
             if depth == 0:
-                return text[at : i + 1]
-        i += 1
+                return text[at:pos]
     return text[at:].strip()
 
 

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cartolith.runtime import Staged
+
 _POS = "__position"
 
 
@@ -54,3 +56,17 @@ def heavy_ends(edges: DataFrame, share: float = 0.01) -> DataFrame:
     totals = end_totals(edges)
     known = totals.where(F.col("node_id").isNotNull() & (F.col("node_id") != 0))
     return known.where(F.col("row_count") >= rows.scalar() * F.lit(share)).select("side", "node_id", "row_count", "total_weight")
+
+
+def numbered(df: DataFrame, group: str, order: list[str], name: str) -> DataFrame:
+    """df with `name`, the place (from 1) of each row in its group by `order` (nulls first), however large the group.
+
+    Rows are range-partitioned by group and order, numbered in their partition, and moved on by the rows of the group in
+    the partitions before; these are one row a group and partition."""
+    keys = ["__group", *order]
+    parts = Staged(df.withColumn("__group", F.col(group)).repartitionByRange(*keys).withColumn("__part", F.spark_partition_id()), "numbered").df
+    local = F.row_number().over(Window.partitionBy("__part", "__group").orderBy(*order))
+    counts = parts.groupBy(F.col("__part").alias("__p"), F.col("__group").alias("__g")).agg(F.count(F.lit(1)).alias("__n"))
+    before = counts.withColumn("__before", F.coalesce(F.sum("__n").over(Window.partitionBy("__g").orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("__n")
+    placed = parts.withColumn("__local", local).join(before, (F.col("__part") == F.col("__p")) & F.col("__group").eqNullSafe(F.col("__g")))
+    return placed.withColumn(name, F.col("__local") + F.col("__before")).drop("__group", "__part", "__local", "__p", "__g", "__before")

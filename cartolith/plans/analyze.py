@@ -6,11 +6,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cartolith.functions import paths as P
 from cartolith.operators import cpp_facts, extract, resolve, rollup, rules
+from cartolith.operators.skew import numbered
 from cartolith.runtime import Staged
 from cartolith.sources.tables import file_lines, newest_files
 
@@ -38,8 +39,8 @@ def _symbols(files: DataFrame, lines: DataFrame) -> DataFrame:
 
 def _numbered(parts: DataFrame) -> DataFrame:
     """Dense ids per project: files by path, then modules, then symbols by path and line."""
-    order = Window.partitionBy("project_id").orderBy("phase", F.coalesce("file_path", F.lit("")), "line", "qualified_name", "kind")
-    return parts.withColumn("id", F.row_number().over(order).cast("bigint"))
+    placed = numbered(parts.withColumn("at", F.coalesce("file_path", F.lit(""))), "project_id", ["phase", "at", "line", "qualified_name", "kind"], "id")
+    return placed.drop("at").withColumn("id", F.col("id").cast("bigint"))
 
 
 def analyze(files: DataFrame, merge_rules: list[tuple[str, str]] | None = None, third_party: bool = False) -> Analysis:
@@ -56,12 +57,12 @@ def analyze(files: DataFrame, merge_rules: list[tuple[str, str]] | None = None,
     module_nodes = modules.select("project_id", "module").distinct().select("project_id", F.lit(2).alias("phase"), F.lit("module").alias("kind"), F.col("module").alias("display_name"), F.col("module").alias("qualified_name"), F.concat(F.lit("module:"), "module").alias("identity_key"), none.alias("file_path"), F.lit(0).alias("line"))
     first = F.min(F.struct("path", "line_no"))
     symbol_nodes = symbols.groupBy("project_id", "kind", "qualified_name").agg(first.alias("at"), F.min("name").alias("display_name")).select("project_id", F.lit(3).alias("phase"), "kind", "display_name", "qualified_name", none.alias("identity_key"), F.col("at.path").alias("file_path"), F.col("at.line_no").alias("line"))
-    numbered = Staged(_numbered(file_nodes.unionByName(module_nodes).unionByName(symbol_nodes)), "nodes").df
-    ids = lambda kind, key, name: numbered.where(F.col("kind") == kind).select("project_id", F.col("qualified_name").alias(key), F.col("id").alias(name))
+    nodes_no = Staged(_numbered(file_nodes.unionByName(module_nodes).unionByName(symbol_nodes)), "nodes").df
+    ids = lambda kind, key, name: nodes_no.where(F.col("kind") == kind).select("project_id", F.col("qualified_name").alias(key), F.col("id").alias(name))
     file_id, module_id = ids("file", "path", "file_id"), ids("module", "module", "module_id")
     member = Staged(modules.join(file_id, ["project_id", "path"]).join(module_id, ["project_id", "module"]).select("project_id", "path", "file_id", "module_id"), "member").df
     edge = lambda df, a, b, kind: df.select("project_id", F.col(a).alias("from_id"), F.col(b).alias("to_id"), F.lit(kind).alias("kind")).distinct()
-    symbol_id = numbered.where("phase = 3").select("project_id", "kind", "qualified_name", F.col("id").alias("symbol_id"), "file_path")
+    symbol_id = nodes_no.where("phase = 3").select("project_id", "kind", "qualified_name", F.col("id").alias("symbol_id"), "file_path")
     contains = edge(member, "module_id", "file_id", "contains").unionByName(edge(symbols.join(symbol_id.drop("file_path"), ["project_id", "kind", "qualified_name"]).join(file_id, ["project_id", "path"]), "file_id", "symbol_id", "contains"))
     imports = Staged(extract.imports(lines), "imports").df
     target = file_id.select("project_id", F.col("path").alias("resolved"), F.col("file_id").alias("target_id"))
@@ -73,18 +74,18 @@ def analyze(files: DataFrame, merge_rules: list[tuple[str, str]] | None = None,
     java = resolve.resolve_java_imports(imports, paths).select("project_id", "path", "specifier")
     script = resolve.resolve_script_imports(imports, paths).where("resolved IS NOT NULL").select("project_id", "path", "specifier")
     loose = imports.join(java.unionByName(script).distinct(), ["project_id", "path", "specifier"], "left_anti").select("project_id", "path", F.col("name").alias("display_name")).distinct()
-    named = numbered.select("project_id", "display_name", F.col("id").alias("target_id"))
+    named = nodes_no.select("project_id", "display_name", F.col("id").alias("target_id"))
     includes = exact.join(target, ["project_id", "resolved"]).select("project_id", "path", "target_id").unionByName(loose.join(named, ["project_id", "display_name"]).select("project_id", "path", "target_id"))
     includes = edge(includes.join(file_id, ["project_id", "path"]), "file_id", "target_id", "includes")
     called = cpp_facts.resolved_calls(kept).where("target IS NOT NULL").select("project_id", F.element_at(F.split("call_id", r"\|"), 4).alias("caller"), F.col("target"))
     callable_id = symbol_id.where("kind IN ('function', 'method')").groupBy("project_id", "qualified_name").agg(F.min("symbol_id").alias("sid"))
     calls = called.join(callable_id.select("project_id", F.col("qualified_name").alias("caller"), F.col("sid").alias("a")), ["project_id", "caller"]).join(callable_id.select("project_id", F.col("qualified_name").alias("target"), F.col("sid").alias("b")), ["project_id", "target"])
     facts = Staged(contains.unionByName(includes).unionByName(edge(calls, "a", "b", "calls")).where("from_id <> to_id").distinct().withColumn("weight", F.lit(1).cast("bigint")).withColumn("support_count", F.lit(1).cast("bigint")), "facts").df
-    bound = numbered.where("file_path IS NOT NULL").select("project_id", "id", F.col("file_path").alias("path")).join(member, ["project_id", "path"]).select("project_id", "id", "module_id")
+    bound = nodes_no.where("file_path IS NOT NULL").select("project_id", "id", F.col("file_path").alias("path")).join(member, ["project_id", "path"]).select("project_id", "id", "module_id")
     a, b = bound.select("project_id", F.col("id").alias("from_id"), F.col("module_id").alias("ma")), bound.select("project_id", F.col("id").alias("to_id"), F.col("module_id").alias("mb"))
     between = facts.where(F.col("kind").isin(*rollup.DEPENDENCY_KINDS)).join(a, ["project_id", "from_id"]).join(b, ["project_id", "to_id"]).where("ma <> mb")
     depends = between.groupBy("project_id", F.col("ma").alias("from_id"), F.col("mb").alias("to_id")).agg(F.sum("weight").alias("weight"), F.sum("support_count").alias("support_count")).withColumn("kind", F.lit("depends_on"))
-    nodes = numbered.drop("phase").join(bound, ["project_id", "id"], "left")
+    nodes = nodes_no.drop("phase").join(bound, ["project_id", "id"], "left")
     return Analysis(nodes, facts.unionByName(depends))
 
 

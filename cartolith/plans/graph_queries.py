@@ -349,13 +349,14 @@ def endpoint_slots(spark, d):
 
 
 def dot_export(spark, d):
+    """The lines of a graph drawing for each project; a writer sorts them by (part, line)."""
     n, e = module_graph(spark, d)
     names = graph_nodes(spark, d).where("kind = 'module'")
     a = names.select(F.col("project_id"), F.lit(1).alias("part"), F.concat(F.lit("  n"), F.col("id").cast("string"), F.lit(' [label="'), T.escape_dot(F.col("display_name")), F.lit('"];')).alias("line"))
     b = e.join(names.select(F.col("id").alias("f"), "project_id"), "f").select("project_id", F.lit(2).alias("part"), F.concat(F.lit("  n"), F.col("f").cast("string"), F.lit(" -> n"), F.col("t").cast("string"), F.lit(' [label="'), F.col("w").cast("string"), F.lit('"];')).alias("line"))
-    # a text per project: its lines are what the export is
-    g = a.unionByName(b).groupBy("project_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", "line"))), lambda x: x["line"]), "\n").alias("body"))
-    return g.select("project_id", F.concat(F.lit("digraph architecture {\n"), "body", F.lit("\n}")).alias("dot"))
+    own = names.select("project_id").distinct()
+    frame = own.select("project_id", F.lit(0).alias("part"), F.lit("digraph architecture {").alias("line")).unionByName(own.select("project_id", F.lit(3).alias("part"), F.lit("}").alias("line")))
+    return frame.unionByName(a).unionByName(b)
 
 
 def overview_json(spark, d):
@@ -511,7 +512,7 @@ SQL = {
         SELECT *, abs(rail - x1) + abs(y2 - y1) + abs(x2 - rail) AS length FROM r""",
     "endpoint_slots": f"WITH {MODULE_EDGES} SELECT f, t, (row_number() OVER (PARTITION BY f ORDER BY w DESC, f, t) - (count(*) OVER (PARTITION BY f) + 1) / 2) * 14.0::DOUBLE AS offset_out, (row_number() OVER (PARTITION BY t ORDER BY w DESC, f, t) - (count(*) OVER (PARTITION BY t) + 1) / 2) * 14.0::DOUBLE AS offset_in FROM dep",
     "dot_export": f"""WITH {MODULE_EDGES}, m AS (SELECT DISTINCT id, project_id, display_name FROM nodes WHERE kind = 'module'), l AS (SELECT project_id, 1 AS part, '  n' || id || ' [label="' || replace(replace(display_name, '\\', '\\\\'), '"', '\\"') || '"];' AS line FROM m UNION ALL SELECT project_id, 2, '  n' || f || ' -> n' || t || ' [label="' || w || '"];' FROM dep JOIN m ON m.id = dep.f)
-        SELECT project_id, 'digraph architecture {{' || chr(10) || string_agg(line, chr(10) ORDER BY part, line) || chr(10) || '}}' AS dot FROM l GROUP BY 1""",
+        SELECT project_id, CAST(part AS INTEGER) AS part, line FROM (SELECT * FROM l UNION ALL SELECT DISTINCT project_id, 0, 'digraph architecture {{' FROM m UNION ALL SELECT DISTINCT project_id, 3, '}}' FROM m)""",
     "overview_json": f"WITH {_OV} SELECT id, '{{\"name\":' || to_json(name) || ',\"role\":' || to_json(role) || ',\"entry\":' || to_json(is_entry) || ',\"file_count\":' || file_count || '}}' AS json FROM mods",
     "evidence_packages": _FULL + """, e AS (SELECT id, list_filter([file_count || ' files', CASE WHEN in_degree > 0 THEN 'used by ' || in_degree END, CASE WHEN out_degree > 0 THEN 'uses ' || out_degree END, CASE WHEN is_entry THEN 'entry' END], lambda x: x IS NOT NULL) AS facts, paths[1:6] AS p FROM ov)
         SELECT id, array_to_string(facts, '; ') AS facts, CAST(len(facts) AS INTEGER) AS n, CASE WHEN len(p) = 0 THEN 'none' WHEN len(p) > 2 THEN array_to_string(p[1:2], ', ') || ', +' || (len(p) - 2) || ' more' ELSE array_to_string(p, ', ') END AS files FROM e""",

@@ -12,6 +12,7 @@ from cartolith.operators import graph as G
 from cartolith.operators import layout as L
 from cartolith.operators import overview as O
 from cartolith.operators import rollup
+from cartolith.operators.skew import numbered
 from cartolith.plans import graph_queries as Q
 from cartolith.plans.sqlparts import MODULE_EDGES, NEWEST, NODES, PATHS, base, ext, in_list
 from cartolith.runtime import Staged, table
@@ -33,8 +34,8 @@ def symbol_registry(spark, d):
     g = s.groupBy("project_id", "identity_key").agg(F.min("kind").alias("kind"), F.min("qualified_name").alias("qualified_name"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("places")))).alias("places"))
     first = F.try_element_at("places", F.lit(1))
     g = g.select("project_id", "identity_key", "kind", "qualified_name", first["p"].alias("path"), first["l"].alias("line"), F.size("places").alias("declarations"))
-    order = Window.partitionBy("project_id").orderBy(F.coalesce("path", F.lit("")), F.coalesce("line", F.lit(0)), F.coalesce("qualified_name", F.lit("")), "kind", "identity_key")
-    return g.withColumn("ord", F.row_number().over(order))
+    keyed = g.withColumn("o1", F.coalesce("path", F.lit(""))).withColumn("o2", F.coalesce("line", F.lit(0))).withColumn("o3", F.coalesce("qualified_name", F.lit("")))
+    return numbered(keyed, "project_id", ["o1", "o2", "o3", "kind", "identity_key"], "ord").drop("o1", "o2", "o3").withColumn("ord", F.col("ord").cast("int"))
 
 
 def preferred_locations(spark, d):

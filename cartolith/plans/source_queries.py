@@ -54,8 +54,9 @@ def scan_filter(spark, d):
 def scan_manifest(spark, d):
     f = newest_files(spark, d).where(P.is_relevant(F.col("path")) & ~P.is_generated_name(F.col("path")) & P.pruned_at(F.col("path")).isNull())
     part = F.concat_ws("|", "path", F.coalesce(F.col("length").cast("string"), F.lit("")), F.date_format("modification_time", "yyyy-MM-dd HH:mm:ss"))
-    per_file = f.groupBy("project_id").agg(F.count(F.lit(1)).alias("files"), F.sum("length").alias("bytes"), F.array_join(F.array_sort(F.collect_list(part)), "\n").alias("all"))
-    return per_file.select("project_id", "files", "bytes", F.sha2("all", 256).alias("fingerprint"))
+    per_file = f.groupBy("project_id").agg(F.count(F.lit(1)).alias("files"), F.sum("length").alias("bytes"), F.sum(F.conv(F.substring(F.md5(part), 1, 15), 16, 10).cast("decimal(38,0)")).alias("all"))
+    # a sum over the files' hashes does not depend on their order, so no list of a project's files is made
+    return per_file.select("project_id", "files", "bytes", F.sha2(F.col("all").cast("string"), 256).alias("fingerprint"))
 
 
 def changed_files(spark, d):
@@ -279,7 +280,7 @@ SQL = {
     "language_counts": f"WITH {PATHS} SELECT project_id, {_LANG} AS language, count(*) AS files FROM paths GROUP BY 1, 2",
     "scan_filter": f"WITH {PATHS} SELECT project_id, path, {_RELEVANT} AS relevant, {_EXT} IN ({_CPP}) AS cpp_source, {_GENERATED} AS generated_name, {_PRUNED} AS pruned_at FROM paths",
     "scan_manifest": f"""WITH {NEWEST} SELECT project_id, count(*) AS files, CAST(sum(length) AS BIGINT) AS bytes,
-        sha256(string_agg(path || '|' || coalesce(CAST(length AS VARCHAR), '') || coalesce('|' || strftime(modification_time, '%Y-%m-%d %H:%M:%S'), ''), chr(10) ORDER BY path || '|' || coalesce(CAST(length AS VARCHAR), '') || coalesce('|' || strftime(modification_time, '%Y-%m-%d %H:%M:%S'), ''))) AS fingerprint
+        sha256(CAST(sum(CAST(CAST('0x' || md5(path || '|' || coalesce(CAST(length AS VARCHAR), '') || coalesce('|' || strftime(modification_time, '%Y-%m-%d %H:%M:%S'), ''))[1:15] AS BIGINT) AS HUGEINT)) AS VARCHAR)) AS fingerprint
         FROM newest WHERE {_RELEVANT} AND NOT {_GENERATED} AND {_PRUNED} IS NULL GROUP BY project_id""",
     "changed_files": """WITH f AS (SELECT DISTINCT project_id, path, length, modification_time FROM files WHERE path IS NOT NULL),
         r AS (SELECT *, row_number() OVER (PARTITION BY project_id, path ORDER BY modification_time DESC NULLS LAST, length DESC NULLS LAST) AS r FROM f)

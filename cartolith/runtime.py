@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import shutil
 import tempfile
 import uuid
@@ -37,6 +38,20 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir()
 
 
+_SCOPES: list[list[Staged]] = []
+
+
+@contextlib.contextmanager
+def staging() -> Iterator[None]:
+    """Drops what is staged inside when it ends, for sessions that live long; results must be read or written by then."""
+    _SCOPES.append([])
+    try:
+        yield
+    finally:
+        for staged in _SCOPES.pop():
+            staged.drop()
+
+
 class Staged:
     """A DataFrame written once to shared storage; reading it needs no lineage, so lost executors cost nothing."""
 
@@ -46,6 +61,8 @@ class Staged:
         df.write.parquet(self.path)
         self.df = self.spark.read.schema(df.schema).parquet(self.path)
         atexit.register(self.drop)
+        if _SCOPES:
+            _SCOPES[-1].append(self)
 
     def count(self) -> int:
         """Row count from the footers."""
@@ -56,6 +73,7 @@ class Staged:
             jvm = self.spark._jvm
             path = jvm.org.apache.hadoop.fs.Path(self.path)
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+            atexit.unregister(self.drop)
         except Exception:  # the session may be gone at exit
             pass
 
