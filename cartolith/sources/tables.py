@@ -85,3 +85,52 @@ def sanitized_arguments(arguments: Column) -> Column:
         return F.struct(F.when(drop, acc["kept"]).otherwise(F.concat(acc["kept"], F.array(a))).alias("kept"), (~acc["skip"] & a.isin(*valued)).alias("skip"))
 
     return F.aggregate(arguments, start, step, lambda acc: acc["kept"])
+
+
+#: Where a project's configuration and compile database may stand, in the order in which they are sought.
+CONFIG_CANDIDATES = ["config/architecture.json", "architecture.json", ".architecture/config.json", "config/project.json"]
+COMPILE_DATABASES = ["compile_commands.json", ".qtc_clangd/compile_commands.json", "build/compile_commands.json", "build/.qtc_clangd/compile_commands.json"]
+_RULES = {"moduleMerges": ("merge", "module"), "roleOverrides": ("role", "role"), "entryOverrides": ("entry", "entry"), "dependencyFoldRules": ("fold", "collapse")}
+
+
+def first_existing(files: DataFrame, candidates: list[str]) -> DataFrame:
+    """(project_id, path, content) of each project's first candidate that there is; other columns are ignored."""
+    order = F.array_position(F.array(*[F.lit(c) for c in candidates]), F.regexp_replace("path", r"^(?:\./)+", ""))
+    found = files.withColumn("rank", order).where("rank > 0")
+    return found.groupBy("project_id").agg(F.min_by(F.struct("path", "content"), F.struct("rank", "path")).alias("s")).select("project_id", "s.path", "s.content")
+
+
+def compile_database(files: DataFrame) -> DataFrame:
+    """(project_id, path, content) of each project's compile database: at one of COMPILE_DATABASES, else in a folder below
+    build, the first by name."""
+    fixed = first_existing(files, COMPILE_DATABASES)
+    below = files.where(F.col("path").rlike(r"^build/[^/]+/(?:\.qtc_clangd/)?compile_commands\.json$")).groupBy("project_id").agg(F.min(F.struct("path", "content")).alias("s")).select("project_id", "s.path", "s.content")
+    known = fixed.select(F.col("project_id").alias("p"))
+    return fixed.unionByName(below.join(known, F.col("project_id").eqNullSafe(F.col("p")), "left_anti"))
+
+
+def config_rules(files: DataFrame, candidates: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(rules, diagnostics) of the projects' configurations: rules (project_id, rule, match, value), distinct, and
+    diagnostics (project_id, path, message) for what is malformed.
+
+    A text that is no JSON object, a list that is none, and items without a match are reported and left out; the rest is
+    kept. Fields may stand under `analysis`. ignoreDirectories gives rules `ignore` without a value."""
+    found = first_existing(files, candidates or CONFIG_CANDIDATES)
+    v = found.select("project_id", "path", F.try_parse_json("content").alias("v"))
+    good = v.where(F.schema_of_variant("v").startswith("OBJECT"))
+    bad = v.where(F.coalesce(~F.schema_of_variant("v").startswith("OBJECT"), F.lit(True))).select("project_id", "path", F.lit("no JSON object").alias("message"))
+    body = F.coalesce(F.try_variant_get("v", "$.analysis", "variant"), F.col("v"))
+    fields = good.select("project_id", "path", body.alias("b")).select("project_id", "path", F.explode(F.array(*[F.struct(F.lit(k).alias("key"), F.try_variant_get("b", f"$.{k}", "variant").alias("x")) for k in ["ignoreDirectories", *_RULES]])).alias("f")).select("project_id", "path", "f.key", "f.x").where("x IS NOT NULL")
+    lists = F.try_variant_get("x", "$", "array<variant>")
+    no_list = fields.where(lists.isNull()).select("project_id", "path", F.concat("key", F.lit(" is no list")).alias("message"))
+    items = fields.where(lists.isNotNull()).select("project_id", "path", "key", F.explode(lists).alias("i"))
+    plain = F.when(F.schema_of_variant("i") == "STRING", F.try_variant_get("i", "$", "string"))
+    match = F.when(F.col("key") == "ignoreDirectories", plain).otherwise(F.try_variant_get("i", "$.match", "string"))
+    rule, value = F.when(F.col("key") == "ignoreDirectories", "ignore"), F.when(F.col("key") == "ignoreDirectories", "")
+    for key, (name, field) in _RULES.items():
+        rule, value = rule.when(F.col("key") == key, name), value.when(F.col("key") == key, F.coalesce(F.try_variant_get("i", f"$.{field}", "string"), F.lit("true" if name in ("entry", "fold") else "")))
+    token = F.regexp_replace(F.lower(F.trim(F.regexp_replace(match, r"\\", "/"))), r"^(?:\./)+|/+$", "")
+    parsed = items.select("project_id", "path", "key", rule.alias("rule"), token.alias("match"), value.alias("value"))
+    ok = (F.col("match") != "") & ((F.col("value") != "") | (F.col("rule") == "ignore"))
+    rejected = parsed.where(~F.coalesce(ok, F.lit(False))).select("project_id", "path", F.concat("key", F.lit(" has an item without a match or value")).alias("message"))
+    return parsed.where(ok).select("project_id", "rule", "match", "value").distinct(), bad.unionByName(no_list).unionByName(rejected)
