@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from cartolith.functions.paths import CPP, extension
 from cartolith.operators import resolve
+from cartolith.runtime import Staged
 
 _TOKEN = re.compile(
     r"(?P<skip>\s+|//(?:[^\n\\]|\\.)*|/\*.*?\*/|(?<![^\n])[ \t]*#(?:[^\n\\]|\\(?:\r?\n|.))*)|(?P<str>(?:u8|[uUL])?R\"(?P<d>[^()\\\s]{0,16})\(.*?\)(?P=d)\"|\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'(?!\w))|"
@@ -151,41 +152,57 @@ def _scanned(text: str, events: list[tuple]) -> tuple[list[tuple], list[tuple]]:
     return symbols, calls
 
 
-_SYMBOLS = "project_id string, path string, line_no int, kind string, name string, qualified_name string"
-_CALLS = "project_id string, path string, line_no int, caller string, callee string, type_prefix string, namespace_prefix string"
+def _cpp(files: DataFrame) -> DataFrame:
+    return files.where(extension(F.col("path")).isin(*CPP) & F.col("content").isNotNull()).select("project_id", "path", "content")
 
 
-def _rows(which: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = []
-            for p, path, text in zip(pdf["project_id"], pdf["path"], pdf["content"]):
-                for row in scan(text)[which]:
-                    out.append((p, path, row[3], *row[:3]) if which == 0 else (p, path, row[4], *row[:4]))
-            yield pd.DataFrame(out, columns=[c.split(" ")[0] for c in (_SYMBOLS, _CALLS)[which].split(", ")])
+_FACTS = "project_id string, path string, line_no int, kind string, name string, qualified_name string, caller string, callee string, type_prefix string, namespace_prefix string"
 
-    return run
 
+def _facts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        out = []
+        for p, path, text in zip(pdf["project_id"], pdf["path"], pdf["content"]):
+            symbols, calls = scan(text)
+            out += [(p, path, line, kind, name, qualified, None, None, None, None) for kind, name, qualified, line in symbols]
+            out += [(p, path, line, "call", None, None, caller, callee, owner, space) for caller, callee, owner, space, line in calls]
+        yield pd.DataFrame(out, columns=[c.split(" ")[0] for c in _FACTS.split(", ")])
+
+
+def cpp_facts(files: DataFrame) -> DataFrame:
+    """Symbols and calls of C and C++ files from one pass; rows of kind `call` have caller, callee and the scopes, the
+    others name and qualified_name."""
+    return _cpp(files).mapInPandas(_facts, _FACTS)
 
-def _cpp(files: DataFrame) -> DataFrame:
-    return files.where(extension(F.col("path")).isin(*CPP) & F.col("content").isNotNull()).select("project_id", "path", "content")
+
+def symbols_of(facts: DataFrame) -> DataFrame:
+    return facts.where("kind <> 'call'").select("project_id", "path", "line_no", "kind", "name", "qualified_name")
+
+
+def calls_of(facts: DataFrame) -> DataFrame:
+    return facts.where("kind = 'call'").select("project_id", "path", "line_no", "caller", "callee", "type_prefix", "namespace_prefix")
 
 
 def cpp_symbols(files: DataFrame) -> DataFrame:
     """Namespaces, types and functions with bodies, by scope."""
-    return _cpp(files).mapInPandas(_rows(0), _SYMBOLS)
+    return symbols_of(cpp_facts(files))
 
 
 def cpp_calls(files: DataFrame) -> DataFrame:
     """Calls in function bodies with the scope they stand in."""
-    return _cpp(files).mapInPandas(_rows(1), _CALLS)
+    return calls_of(cpp_facts(files))
 
 
 def resolved_calls(files: DataFrame) -> DataFrame:
     """cpp_calls resolved against cpp_symbols of the project: target is the symbol's qualified name, null if none is
     the only one."""
-    symbols = cpp_symbols(files).where("kind IN ('function', 'method')")
+    return resolved(Staged(cpp_facts(files), "cpp").df)
+
+
+def resolved(facts: DataFrame) -> DataFrame:
+    """resolved_calls of cpp_facts, with the caller."""
+    symbols = symbols_of(facts).where("kind IN ('function', 'method')")
     nodes = symbols.select("project_id", F.concat_ws("|", "qualified_name", "path", F.col("line_no").cast("string")).alias("id"), F.col("name").alias("display_name"), "qualified_name")
-    calls = cpp_calls(files).select("project_id", "path", "line_no", "caller", "callee", "type_prefix", "namespace_prefix").distinct()
+    calls = calls_of(facts).distinct()
     calls = calls.withColumn("call_id", F.concat_ws("|", "project_id", "path", F.col("line_no").cast("string"), "caller", "callee", "type_prefix", "namespace_prefix"))
     return resolve.resolve_calls(calls, nodes).select("call_id", "project_id", "callee", F.substring_index("target", "|", 1).alias("target"), "rung")
