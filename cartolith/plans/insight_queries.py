@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cartolith.functions import paths as P
+from cartolith.functions import text as T
 from cartolith.operators import extract, insight
 from cartolith.operators import graph as G
 from cartolith.plans import graph_queries as Q
@@ -120,6 +121,17 @@ def _focus(spark, d) -> tuple[DataFrame, DataFrame]:
     return g.groupBy("project_id").agg(F.min_by("id", F.struct((-F.col("in_degree") - F.col("out_degree")).alias("g"), "id")).alias("id")), e
 
 
+def component_labels(spark, d):
+    """A label for each component (the files of a module that differ in extension alone): what it is around, its first
+    type, else function, else its name, and its files."""
+    n = graph_nodes(spark, d).where("module_id IS NOT NULL AND file_path <> ''").withColumn("component", F.regexp_replace("file_path", r"\.[^.]*$", ""))
+    prio = F.when(F.col("kind").isin("class", "struct", "enum"), 0).when(F.col("kind").isin("function", "method"), 1)
+    order = F.struct(prio.alias("p"), F.coalesce("line", F.lit(0)).alias("l"), "display_name")
+    # the files of one component are its extensions
+    g = n.groupBy("module_id", "component").agg(F.min(F.when(prio.isNotNull() & (F.col("display_name") != ""), order))["display_name"].alias("lead"), F.array_sort(F.collect_set(F.substring_index("file_path", "/", -1))).alias("files"))
+    return g.select("module_id", "component", F.concat(F.lit("around "), F.coalesce("lead", F.substring_index("component", "/", -1)), F.lit(": "), T.first_k(F.col("files"), 2)).alias("label"))
+
+
 def signed_lanes(spark, d):
     """Steps from the project's focus to what it uses (positive) or is used by (negative); the shorter way counts, the
     positive one of equal ways."""
@@ -144,7 +156,7 @@ def ring_layout(spark, d):
     return placed.select("id", "project_id", "ring", F.round(F.col("radius") * F.cos("turn"), 3).alias("x"), F.round(F.col("radius") * F.sin("turn"), 3).alias("y"))
 
 
-QUERIES = {f.__name__: f for f in (file_labels, retrieved_files, preview_lines, single_file_modules, merge_pairs, config_choices, config_draft, syntax_tree_sizes, syntax_tree_dump, syntax_previews, layer_keys, cached_replies, signed_lanes, ring_layout)}
+QUERIES = {f.__name__: f for f in (file_labels, retrieved_files, preview_lines, single_file_modules, merge_pairs, config_choices, config_draft, syntax_tree_sizes, syntax_tree_dump, syntax_previews, layer_keys, cached_replies, component_labels, signed_lanes, ring_layout)}
 
 _E, _B = ext(), base()
 _LANGUAGE = f"CASE WHEN {_B} = 'cmakelists.txt' THEN 'CMake' WHEN {_B} = 'qmldir' THEN 'QML Module' " + " ".join(f"WHEN {_E} IN ({in_list(s)}) THEN '{n}'" for n, s in insight.LANGUAGES) + f" WHEN {_E} = '' THEN 'Unknown' ELSE upper({_E}[2:]) END"
@@ -188,6 +200,9 @@ SQL = {
         SELECT project_id, scan_key, parse_key, aggregate_key, sha256(aggregate_key || '|layout') AS layout_key FROM k3""",
     "cached_replies": """WITH c AS (SELECT project_id, url FROM (SELECT project_id, coalesce(base_url, '') || coalesce(endpoint_path, '') AS url, row_number() OVER (PARTITION BY project_id ORDER BY loaded_at DESC NULLS LAST, config_id DESC) AS r FROM ai_config WHERE enabled) WHERE r = 1),
         q AS (SELECT DISTINCT request_id, r.project_id, code_excerpt, url FROM ai_requests r LEFT JOIN c ON c.project_id = r.project_id), k AS (SELECT request_id, sha256(coalesce(url, '') || chr(10) || coalesce(code_excerpt, '')) AS key FROM q) SELECT request_id, key, min(request_id) OVER (PARTITION BY key) < request_id AS cached FROM k""",
+    "component_labels": f"""WITH {NODES}, c AS (SELECT *, regexp_replace(file_path, '\\.[^.]*$', '') AS component, CASE WHEN kind IN ('class', 'struct', 'enum') THEN 0 WHEN kind IN ('function', 'method') THEN 1 END AS p FROM n WHERE module_id IS NOT NULL AND file_path <> ''),
+        g AS (SELECT module_id, component, first(display_name ORDER BY p, coalesce(line, 0), display_name) FILTER (p IS NOT NULL AND display_name <> '') AS lead, list_sort(list(DISTINCT regexp_extract(file_path, '([^/]*)$', 1))) AS files FROM c GROUP BY 1, 2)
+        SELECT module_id, component, 'around ' || coalesce(lead, regexp_extract(component, '([^/]*)$', 1)) || ': ' || CASE WHEN len(files) > 2 THEN array_to_string(files[1:2], ', ') || ', +' || (len(files) - 2) || ' more' ELSE array_to_string(files, ', ') END AS label FROM g""",
     "signed_lanes": _FOCUS + """, up(id, s) AS (SELECT id, 0 FROM fo UNION SELECT dep.t, up.s + 1 FROM up JOIN dep ON dep.f = up.id WHERE up.s < 60), down(id, s) AS (SELECT id, 0 FROM fo UNION SELECT dep.f, down.s + 1 FROM down JOIN dep ON dep.t = down.id WHERE down.s < 60),
         b AS (SELECT id, min(s) AS s, 0 AS o FROM up GROUP BY 1 UNION ALL SELECT id, min(s), 1 FROM down GROUP BY 1), r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY s, o) AS r FROM b) SELECT id, CAST(CASE WHEN o = 1 THEN -s ELSE s END AS INTEGER) AS lane FROM r WHERE r = 1""",
     "ring_layout": _FOCUS + f""", both_ AS (SELECT f, t FROM dep UNION SELECT t, f FROM dep), h(id, s) AS (SELECT id, 0 FROM fo UNION SELECT both_.t, h.s + 1 FROM h JOIN both_ ON both_.f = h.id WHERE h.s < 60), hop AS (SELECT id, min(s) AS s FROM h GROUP BY 1),
