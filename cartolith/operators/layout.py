@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Side of the cells through which segments and rectangles find each other.
@@ -17,20 +17,58 @@ def islands(df: DataFrame, keys: list[str], start: str, end: str, order: list[st
     return df.withColumn("__o", opens).withColumn("island", F.sum("__o").over(w)).drop("__o")
 
 
-def _cells(df: DataFrame, x1: str, y1: str, x2: str, y2: str) -> DataFrame:
-    lo = lambda a, b: F.floor(F.least(a, b) / CELL)
-    hi = lambda a, b: F.floor(F.greatest(a, b) / CELL)
-    return df.withColumn("cx", F.explode(F.sequence(lo(x1, x2), hi(x1, x2)))).withColumn("cy", F.explode(F.sequence(lo(y1, y2), hi(y1, y2))))
+def _cell(x: Column) -> Column:
+    return F.floor(x / CELL)
+
+
+def _half(x: Column, k: Column) -> Column:
+    """x halved k times, rounded down."""
+    return F.call_function("shiftright", x, k)
+
+
+def _blocks(df: DataFrame, first: Column, last: Column) -> DataFrame:
+    """df for each of the few blocks that make up its cells first to last, at levels up to its top: (k, c) stands for the
+    cells c * 2**k to (c + 1) * 2**k - 1. No cell is in two."""
+    levels = df.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("top"))))
+    lo, hi = -_half(-first, F.col("k")), _half(last + 1, F.col("k"))
+    block = lambda c, alone: F.when((lo < hi) & (F.pmod(alone, F.lit(2)) == 1), c)
+    return levels.withColumn("c", F.explode(F.array_compact(F.array(block(lo, lo), block(hi - 1, hi)))))
+
+
+def _holding(df: DataFrame, first: Column, last: Column) -> DataFrame:
+    """df for every block (k, c) up to its top that holds one of its cells first to last."""
+    levels = df.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("top"))))
+    return levels.withColumn("c", F.explode(F.sequence(_half(first, F.col("k")), _half(last, F.col("k")))))
 
 
 def segment_hits(segments: DataFrame, rects: DataFrame, margin: float) -> DataFrame:
     """(seg, rect, length) of axis-parallel segments (seg, x1, y1, x2, y2) that run through rectangles (rect, left, top,
-    right, bottom) grown by margin. Both are put into cells, so only neighbours are compared."""
-    r = rects.select("rect", (F.col("left") - margin).alias("l"), (F.col("top") - margin).alias("t"), (F.col("right") + margin).alias("r"), (F.col("bottom") + margin).alias("b"))
-    near = _cells(segments, "x1", "y1", "x2", "y2").join(_cells(r, "l", "t", "r", "b"), ["cx", "cy"]).drop("cx", "cy").dropDuplicates(["seg", "rect"])
-    over = lambda a1, a2, b1, b2: F.least(F.greatest(a1, a2), b2) - F.greatest(F.least(a1, a2), b1)
-    dx, dy = over("x1", "x2", "l", "r"), over("y1", "y2", "t", "b")
-    return near.withColumn("length", F.greatest(dx, dy)).where((dx >= 0) & (dy >= 0)).select("seg", "rect", "length")
+    right, bottom) grown by margin, with the other columns of segments.
+
+    Rectangles of equal extent across a segment's direction are one lane. Which lanes a segment meets is settled on the
+    distinct coordinates, exactly; along its direction it is cut into blocks of cells, about twice the logarithm of its
+    length, and a rectangle is sought in the blocks that hold it. So what is compared follows the hits and not the lengths."""
+    upright = F.abs(F.col("y2") - F.col("y1")) > F.abs(F.col("x2") - F.col("x1"))
+    side = lambda f, a, b: F.when(upright, f("x1", "x2") if a == "across" else f("y1", "y2")).otherwise(f("y1", "y2") if a == "across" else f("x1", "x2")).alias(b)
+    s = segments.select("*", upright.alias("up"), side(F.least, "across", "a1"), side(F.greatest, "across", "a2"), side(F.least, "along", "m1"), side(F.greatest, "along", "m2"))
+    box = rects.select("rect", (F.col("left") - margin).alias("l"), (F.col("top") - margin).alias("t"), (F.col("right") + margin).alias("r"), (F.col("bottom") + margin).alias("b"))
+    turned = lambda up, *c: F.struct(F.lit(up).alias("up"), *[F.col(x).alias(n) for x, n in zip(c, ("l1", "l2", "n1", "n2"))])
+    r = box.select("rect", F.inline(F.array(turned(True, "l", "r", "t", "b"), turned(False, "t", "b", "l", "r"))))
+    cells = lambda df, x, y: df.withColumn("cell", F.explode(F.sequence(_cell(F.col(x)), _cell(F.col(y)))))
+    met = cells(s.select("up", "a1", "a2").distinct(), "a1", "a2").join(cells(r.select("up", "l1", "l2").distinct(), "l1", "l2"), ["up", "cell"])
+    met = met.where((F.col("a1") <= F.col("l2")) & (F.col("a2") >= F.col("l1")) & (F.col("cell") == F.greatest(_cell(F.col("a1")), _cell(F.col("l1"))))).drop("cell")
+    laned = s.join(met, ["up", "a1", "a2"])
+    cells_along = F.greatest(*[_cell(F.greatest(f"{c}1", f"{c}2")) - _cell(F.least(f"{c}1", f"{c}2")) + 1 for c in "xy"])
+    top = F.broadcast(segments.agg(F.coalesce(F.floor(F.log2(F.max(cells_along))), F.lit(0)).cast("int").alias("top")))  # one row
+    cut = _blocks(laned.crossJoin(top), _cell(F.col("m1")), _cell(F.col("m2")))
+    held = r.join(met.select("up", "l1", "l2").distinct(), ["up", "l1", "l2"], "left_semi").crossJoin(top)
+    held = _holding(held, _cell(F.col("n1")), _cell(F.col("n2"))).drop("top")
+    near = cut.join(held, ["up", "l1", "l2", "k", "c"])
+    # the first cell of both lies in one block only
+    once = _half(F.greatest(_cell(F.col("m1")), _cell(F.col("n1"))), F.col("k")) == F.col("c")
+    across = F.least("a2", "l2") - F.greatest("a1", "l1")
+    along = F.least("m2", "n2") - F.greatest("m1", "n1")
+    return near.where(once & (along >= 0)).select(*segments.columns, "rect", F.greatest(across, along).alias("length"))
 
 
 def capped_edges(edges: DataFrame, group: str, total: int = 18, per_node: int = 4) -> DataFrame:

@@ -305,9 +305,9 @@ def hotspots(spark, d):
     return r.select("project_id", "place", "id", "score", F.when(F.col("score") >= 24, "high").when(F.col("score") >= 14, "medium").otherwise("low").alias("severity"))
 
 
-def layout_positions(spark, d):
+def layout_positions(spark, d, graph: tuple[DataFrame, DataFrame] | None = None):
     """Layers left to right, in a layer by falling out-degree and name."""
-    n, e = module_graph(spark, d)
+    n, e = graph or module_graph(spark, d)
     names = graph_nodes(spark, d).where("kind = 'module'").select("id", "display_name")
     p = G.peel_layers(n, e).join(G.degrees(e).select("id", "out_degree"), "id", "left").fillna(0, ["out_degree"]).join(names, "id")
     order = F.row_number().over(Window.partitionBy("layer").orderBy(F.desc("out_degree"), "display_name", "id")) - 1
@@ -326,11 +326,10 @@ def layer_bounds(spark, d):
     return p.groupBy("layer").agg((F.min("x") - 24).alias("left"), (F.min("y") - 24).alias("top"), (F.max("x") + 220 + 24).alias("right"), (F.max("y") + 92 + 24).alias("bottom"), F.count(F.lit(1)).alias("members"))
 
 
-def edge_routes(spark, d):
-    """Orthogonal routes between placed modules: out of one side, along a rail, into the other."""
-    p = layout_positions(spark, d)
-    p = Staged(p, "placed").df
-    _, e = module_graph(spark, d)
+def placed_routes(spark, d) -> tuple[DataFrame, DataFrame]:
+    """(layout_positions, staged, and edge_routes) of one module graph."""
+    n, e = module_graph(spark, d)
+    p = Staged(layout_positions(spark, d, (n, e)), "placed").df
     a, b = p.select(F.col("id").alias("f"), F.col("layer").alias("fl"), F.col("ord").alias("fo"), F.col("x").alias("fx"), F.col("y").alias("fy")), p.select(F.col("id").alias("t"), F.col("layer").alias("tl"), F.col("ord").alias("to"), F.col("x").alias("tx"), F.col("y").alias("ty"))
     j = e.join(a, "f").join(b, "t")
     back, ahead, left = F.col("tl") < F.col("fl"), F.col("tl") > F.col("fl"), F.col("to") < F.col("fo")
@@ -338,7 +337,12 @@ def edge_routes(spark, d):
     end = F.when(ahead | (~back & left), F.col("tx")).otherwise(F.col("tx") + 220)
     rail = F.when(back, F.col("fx") - 28).when(ahead, F.col("fx") + 220 + 28).when(left, F.least("fx", "tx") - 44).otherwise(F.greatest(F.col("fx"), F.col("tx")) + 220 + 44)
     y1, y2 = F.col("fy") + 46, F.col("ty") + 46
-    return j.select("f", "t", start.alias("x1"), y1.alias("y1"), rail.alias("rail"), end.alias("x2"), y2.alias("y2"), (F.abs(rail - start) + F.abs(y2 - y1) + F.abs(end - rail)).alias("length"))
+    return p, j.select("f", "t", start.alias("x1"), y1.alias("y1"), rail.alias("rail"), end.alias("x2"), y2.alias("y2"), (F.abs(rail - start) + F.abs(y2 - y1) + F.abs(end - rail)).alias("length"))
+
+
+def edge_routes(spark, d):
+    """Orthogonal routes between placed modules: out of one side, along a rail, into the other."""
+    return placed_routes(spark, d)[1]
 
 
 def endpoint_slots(spark, d):

@@ -256,13 +256,12 @@ def mode_tie_break(spark, d):
 
 def route_hits(spark, d):
     """Parts of routes that run through modules that are not their ends."""
-    r = Staged(Q.edge_routes(spark, d), "routes").df
+    pos, routes = Q.placed_routes(spark, d)
+    r = Staged(routes, "routes").df
     piece = lambda n, x1, y1, x2, y2: F.struct(F.concat_ws(":", F.col("f").cast("string"), F.col("t").cast("string"), F.lit(n)).alias("seg"), F.col(x1).alias("x1"), F.col(y1).alias("y1"), F.col(x2).alias("x2"), F.col(y2).alias("y2"))
     seg = r.select("f", "t", F.inline(F.array(piece("a", "x1", "y1", "rail", "y1"), piece("b", "rail", "y1", "rail", "y2"), piece("c", "rail", "y2", "x2", "y2"))))
-    pos = Q.layout_positions(spark, d)
     rects = pos.select(F.col("id").alias("rect"), F.col("x").alias("left"), F.col("y").alias("top"), (F.col("x") + 220).alias("right"), (F.col("y") + 92).alias("bottom"))
-    hits = L.segment_hits(seg.drop("f", "t"), rects, 6.0)
-    return hits.join(seg.select("seg", "f", "t"), "seg").where("rect <> f AND rect <> t").select("seg", "rect", "length")
+    return L.segment_hits(seg, rects, 6.0).where("rect <> f AND rect <> t").select("seg", "rect", "length")
 
 
 def capped_edges(spark, d):

@@ -51,6 +51,17 @@ def test_segment_hits_match_brute_force(spark):
     assert {(r.seg, r.rect): r.length for r in got.collect()} == want
 
 
+def test_long_segments_are_not_cut_into_every_cell(spark):
+    far = 1e13
+    rects = [(i, x, y, x + 220, y + 92) for i, (x, y) in enumerate([(0.0, 0.0), (0.0, far / 3), (320.0, 140.0), (far / 2, 1400.0), (-far, -500.0), (far, 280.0)])]
+    segs = [("rail", 248.0, -far, 248.0, far), ("column", 100.0, far, 100.0, 0.0), ("row", -1000.0, 1446.0, far, 1446.0), ("end", 226.0, 50.0, far, 50.0), ("point", 330.0, 150.0, 330.0, 150.0), ("short", 331.0, 20.0, 331.0, 134.0), ("miss", 331.0, 20.0, 331.0, 133.0)]
+    got = layout.segment_hits(spark.createDataFrame([(s[0], s[0] + "!", *s[1:]) for s in segs], "seg string, other string, x1 double, y1 double, x2 double, y2 double"), spark.createDataFrame(rects, "rect int, left double, top double, right double, bottom double"), 6.0).collect()
+    assert len(got) == 6 and all(r.other == r.seg + "!" for r in got)
+    assert {(r.seg, r.rect): r.length for r in got} == {("column", 0): 98.0, ("column", 1): 104.0, ("row", 3): 232.0, ("end", 0): 0.0, ("point", 2): 0.0, ("short", 2): 0.0}
+    none = spark.createDataFrame([], "seg string, x1 double, y1 double, x2 double, y2 double")
+    assert layout.segment_hits(none, spark.createDataFrame(rects, "rect int, left double, top double, right double, bottom double"), 6.0).count() == 0
+
+
 def test_capped_edges_are_greedy(spark):
     rnd = random.Random(2)
     edges = [("p", rnd.randrange(9), rnd.randrange(9), rnd.randrange(50)) for _ in range(90)]
