@@ -38,9 +38,22 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir()
 
 
+#: Session setting that removes the shuffle files of a query as soon as it has ended.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _SCOPES: list[list[Staged]] = []
 
 
+@contextlib.contextmanager
+def _freed(spark: SparkSession) -> Iterator[None]:
+    """Queries that begin inside leave no shuffle files, which otherwise stay until the driver collects garbage."""
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(_CLEANUP, before) if before is not None else spark.conf.unset(_CLEANUP)
+
+
 @contextlib.contextmanager
 def staging() -> Iterator[None]:
     """Drops what is staged inside when it ends, for sessions that live long; results must be read or written by then."""
@@ -58,7 +71,8 @@ class Staged:
     def __init__(self, df: DataFrame, label: str = "t"):
         self.spark = df.sparkSession
         self.path = f"{shared_dir(self.spark)}/cartolith-{label}-{uuid.uuid4().hex}"
-        df.write.parquet(self.path)
+        with _freed(self.spark):
+            df.write.parquet(self.path)
         self.df = self.spark.read.schema(df.schema).parquet(self.path)
         atexit.register(self.drop)
         if _SCOPES:

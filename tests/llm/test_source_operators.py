@@ -1,3 +1,4 @@
+import os
 import random
 from datetime import datetime
 
@@ -5,6 +6,7 @@ import pytest
 
 from cartolith.llm import grammar, sourcefiles, syntax
 from cartolith.llm.lexing import lex
+from cartolith.runtime import shared_dir
 
 GOOD = {
     "java": 'package a.b;\nimport java.util.*;\npublic final class A<T> extends B<T> { int x = 1; @Override public <U> List<U> f(U u) throws E { for (int i = 0; i < 3; i++) { if (i > 1) break; } try { g(); } catch (A | B e) { throw new X("a"); } return (i) -> i + 1; } }',
@@ -170,6 +172,23 @@ def test_lines_alone_tell_copies(spark):
     assert {r.path for r in got} == want
 
 
+def test_files_of_common_lines_are_no_pairs_and_leave_nothing_behind(spark, monkeypatch):
+    """Files that share lines and are no copies are not moved as pairs; what is staged goes before the result is read."""
+    rnd = random.Random(31)
+    words = [f"shared_statement_{k}(value_{k});" for k in range(150)]
+    rows = [(f"p{n}", f"src/own{n}.cpp", T1, "\n".join(rnd.sample(words, 14))) for n in range(200)]
+    lib = _code(700, 20)
+    rows += [("a", "vendor/lib/x.cpp", T1, lib), ("b", "src/copied.cpp", T1, _edited(lib, 3))]
+    files, moved, compare = _files(spark, rows), [], sourcefiles.contained_pairs
+    monkeypatch.setattr(sourcefiles, "contained_pairs", lambda pairs, lined: (moved.append(pairs.count()), compare(pairs, lined))[1])
+    folder = shared_dir(spark).removeprefix("file:")
+    before = set(os.listdir(folder))
+    found = sourcefiles.machine_files(files)
+    assert {x.split("-")[1] for x in set(os.listdir(folder)) - before} == {"verdicts", "copied"}
+    assert {r.path for r in found.collect()} == {"vendor/lib/x.cpp", "src/copied.cpp"}
+    assert 1 <= sum(moved) < 100
+
+
 def test_the_newest_state_is_judged(spark):
     gen = "// Code generated by tool 1.2; DO NOT EDIT.\n"
     rows = [("a", "src/a.cpp", T1, gen + _code(1)), ("a", "src/a.cpp", T2, _code(1)), ("a", "src/b.cpp", T2, gen + _code(2)), ("a", "src/b.cpp", T1, _code(2)), ("a", "src/c.cpp", T2, None), ("a", "src/c.cpp", T1, gen + _code(3))]
