@@ -11,6 +11,8 @@ Four kinds of evidence, all over whole tables:
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,6 +26,8 @@ COPY_PROJECTS, LEAST_COPIED = 3, 10
 LEAST_RARE, RARE_SHARE, RARE_FILES = 3, 0.001, 3
 #: Unmarked holders of a line that are compared first, and holders of a line that one task takes.
 FIRST_HOLDERS, HOLDERS_A_PART = 8, 1000
+#: Pairs for each content whose lines are compared at a time; each moves the lines of a file.
+PAIRS_AT_ONCE = 2
 #: Shorter lines say nothing about origin.
 LINE_CHARS = 12
 
@@ -86,6 +90,13 @@ def contained_pairs(pairs: DataFrame, lined: DataFrame) -> DataFrame:
     return both.where(F.size("shared") >= CONTAINED * F.col("n") - 1e-9).drop("own", "held")
 
 
+def compared(pairs: Staged, classes: Staged) -> list[Staged]:
+    """contained_pairs of all pairs, in as many turns as keep to PAIRS_AT_ONCE what is moved at a time."""
+    turns = max(1, -(-pairs.count() // (PAIRS_AT_ONCE * max(1, classes.count()))))
+    own = lambda k: pairs.df.where(F.pmod(F.xxhash64("class_id"), F.lit(turns)) == k) if turns > 1 else pairs.df
+    return [Staged(contained_pairs(own(k), classes.df), "contained") for k in range(turns)]
+
+
 def settled_classes(contained: DataFrame, telling: DataFrame) -> DataFrame:
     """class_id of those contained in a marked file, or whose content and its containers stand in COPY_PROJECTS projects.
     telling: class_id, rare (its lines that say something about origin)."""
@@ -161,9 +172,9 @@ def copied_classes(states: DataFrame, held: Staged) -> DataFrame:
     first = Staged(likely(leading, some.df.join(named, "source"), ["line"]), "first")
     for done in (leads, some):
         done.drop()
-    nearest = Staged(contained_pairs(first.df, lined), "near")
+    nearest = compared(first, classes)
     first.drop()
-    near = nearest.df
+    near = reduce(DataFrame.unionByName, [x.df for x in nearest])
     # files whose first container is the same are one group of copies
     heads = near.groupBy("class_id").agg(F.min(F.struct((-F.col("m")).alias("size"), F.col("source").alias("id"))).alias("head"), (-F.first("n")).alias("size"))
     headed = Staged(heads.where(F.col("head") < F.struct("size", F.col("class_id").alias("id"))).select("class_id", F.col("head.id").alias("head")), "heads")
@@ -176,17 +187,19 @@ def copied_classes(states: DataFrame, held: Staged) -> DataFrame:
     telling = known.df.select("class_id", "rare")
     early = Staged(settled_classes(near, telling), "early")
     heavy = Staged(counts.where(F.col("df") > HOLDERS_A_PART).select("line", F.ceil(F.col("df") / HOLDERS_A_PART).alias("parts")), "heavy")
-    for done in (nearest, headed, uncommon, counted):
+    for done in (*nearest, headed, uncommon, counted):
         done.drop()
     parts = F.coalesce("parts", F.lit(1).cast("bigint"))  # lines held by many are spread
     spread = holding.select(F.col("class_id").alias("source"), F.col("n").alias("m"), F.col("bits").alias("held_bits"), line).join(small_side(heavy), "line", "left").withColumn("part", F.pmod(F.xxhash64("source"), parts)).drop("parts")
     rest = known.df.select("class_id", F.inline("lead")).join(early.df, "class_id", "left_anti").join(own.select("class_id", "n", "bits"), "class_id")
     rest = rest.withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.ceil(F.col("df") / HOLDERS_A_PART) - 1))).drop("df")
     every = Staged(likely(rest, spread, ["line", "part"]), "every")
-    late = Staged(settled_classes(contained_pairs(every.df, lined), telling), "late")
+    others = compared(every, classes)
+    every.drop()
+    late = Staged(settled_classes(reduce(DataFrame.unionByName, [x.df for x in others]), telling), "late")
     found = early.df.unionByName(late.df).unionByName(many).unionByName(same).distinct()
     copied = Staged(lined.select("class_id", "content_id").join(found, "class_id", "left_semi").select(F.col("content_id").alias("class_id")), "copied")
-    for done in (every, late, early, known, heavy, classes):
+    for done in (*others, late, early, known, heavy, classes):
         done.drop()
     return copied.df
 
